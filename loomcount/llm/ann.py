@@ -2,7 +2,7 @@
 
 Index: vectors are turned by a seeded random rotation and dealt to the nearest of about sqrt(n) centroids, which k-means fits on a
 bounded, seeded sample (SAMPLE vectors); every vector is indexed. A list of any length is split into blocks of about BLOCK vectors.
-Search: a query goes to the blocks of its `probes` nearest lists, and on until these lists hold at least four times k vectors, so that a
+Search: a query goes to the blocks of its nearest lists (PROBE_SHARE of all, PROBES at least: vectors without clusters ask for that much), and on until these lists hold at least four times k vectors, so that a
 query gets k neighbours if there are k candidates. A block is read in columns of STEP dimensions: after each, the
 partial squared distance d of the t dimensions seen tests the hypothesis that the candidate is nearer than the k-th best so far; it
 is abandoned once d > best * t / D * (1 + EPSILON / sqrt(t))^2, the bound under which a random rotation keeps partial distances with high
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from loomcount.llm.common import written
 
 SAMPLE, MOST_LISTS, BLOCK, QUERY_GROUP = 16_384, 4_096, 2_048, 256
-PROBES, STEP, EPSILON, SEED, ROUNDS = 24, 16, 2.1, 7, 8
+PROBES, PROBE_SHARE, STEP, EPSILON, SEED, ROUNDS = 24, 0.6, 16, 2.1, 7, 8
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def scan_block(block, queries, k: int):
         yield qid, ids[alive][order], d[order]
 
 
-def search(vectors: DataFrame, is_query, k: int = 10, probes: int = PROBES) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 10, probes: int = PROBES, share: float = PROBE_SHARE) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found of every row for which the Boolean column is_query holds."""
     import numpy as np
 
@@ -112,6 +112,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, probes: int = PROBES) -> D
         return spark.createDataFrame([], schema)
     lists = int(min(MOST_LISTS, max(1, round(n**0.5))))
     centre = fit(rows, lists)
+    probes = max(probes, round(share * len(centre)))
     turn = rotation(centre.shape[1])
     sent = spark.sparkContext.broadcast((centre, turn))
 

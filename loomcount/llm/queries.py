@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcount.llm import ann, bpe, exact_dedup, hilbert, mixing, quality, secrets, url_filter
+from loomcount.llm import ann, bpe, exact_dedup, hilbert, line_dedup, mixing, quality, secrets, url_filter
 from loomcount.llm.common import table
 
 #: The rules that op10 judges by.
@@ -21,6 +21,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key", "kept")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_deleted"), "text")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = exact_dedup.DigestIndex(spark).ingest(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -50,7 +55,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op4_exact_dedup, op5_nearest_neighbours, op6_hilbert_sharding, op8_bpe, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_line_dedup, op4_exact_dedup, op5_nearest_neighbours, op6_hilbert_sharding, op8_bpe, op9_mixing, op10_url_filter)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": f"""
