@@ -143,32 +143,38 @@ def level(good, other, keep: float = KEEP) -> float:
     return float(at[np.argmax(caught - lost)])
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """doc_id, log_weight, gumbel_key, kept of every row of docs, with `_u`, a number for telling rows apart, and the text's hash `_h`."""
+def key_of() -> Column:
+    return F.col("log_weight") + gumbel(SEED, F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> tuple:
+    """The buckets' weights and the level for the log weight."""
     import numpy as np
 
     sample = written(labelled_sample(docs, labels), "quality-sample")
-    raw, target = _counts(docs), _counts(sample.filter("good"))
-    weights = log_ratio(target, raw)
+    weights = log_ratio(_counts(sample.filter("good")), _counts(docs))
     seen = scored(sample, weights).select("good", "log_weight").collect()  # at most SAMPLE rows, unless ids repeat
     good, other = (np.array([r[1] for r in seen if r[0] == x]) for x in (True, False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    got = scored(rows, weights).select("doc_id", "log_weight", F.xxhash64("text").alias("_h"))
-    got = written(got.withColumn("gumbel_key", F.col("log_weight") + gumbel(SEED, F.col("doc_id"), F.col("_h"))).withColumn("_u", F.monotonically_increasing_id()), "quality-scores")
-    if k is None:
-        k = got.filter(F.col("log_weight") >= level(good, other)).count()
+    return weights, level(good, other)
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> tuple[DataFrame, object, float]:
+    """(rows, weights, key): doc_id, log_weight, gumbel_key, kept of every row of docs; the weights; the k-th largest key."""
+    weights, at = fit(docs, labels)
+    rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), weights)
+    got = written(rows.select("doc_id", "log_weight", key_of().alias("gumbel_key"), F.monotonically_increasing_id().alias("_u")), "quality-scores")
     n = got.count()
-    if k <= 0 or n == 0:
-        return got.withColumn("kept", F.lit(False))
-    key = kth_largest(got.select(F.col("gumbel_key").alias("key")), min(k, n))
-    over = min(k, n) - got.filter(F.col("gumbel_key") > key).count()
-    tied = got.filter(F.col("gumbel_key") == key)
-    last = kth_largest(tied.select((-F.col("_u")).cast("double").alias("key")), over)
-    return got.withColumn("kept", (F.col("gumbel_key") > key) | ((F.col("gumbel_key") == key) & (-F.col("_u").cast("double") >= last)))
+    k = min(n, got.filter(F.col("log_weight") >= at).count() if k is None else k)
+    if k <= 0:
+        return got.drop("_u").withColumn("kept", F.lit(False)), weights, float("inf")
+    key = kth_largest(got.select(F.col("gumbel_key").alias("key")), k)
+    over = k - got.filter(F.col("gumbel_key") > key).count()
+    last = kth_largest(got.filter(F.col("gumbel_key") == key).select((-F.col("_u")).cast("double").alias("key")), over)
+    kept = (F.col("gumbel_key") > key) | ((F.col("gumbel_key") == key) & (-F.col("_u").cast("double") >= last))
+    return got.withColumn("kept", kept).drop("_u"), weights, key
 
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The rows of docs that are kept, all columns. Rows that share doc_id and text share their key and so their fate, except at the very k-th key."""
-    got = resample(docs, labels, k).groupBy("doc_id", "_h").agg(F.max("kept").alias("_kept")).filter("_kept")
-    left = docs.withColumn("_text_hash", F.xxhash64("text"))
-    return left.join(got.select(F.col("doc_id").alias("_id"), "_h"), left["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left_semi").drop("_text_hash")
+    """The rows of docs whose key reaches the k-th largest one, all columns; texts are scored where they are, not shuffled."""
+    _, weights, key = resample(docs, labels, k)
+    return scored(docs, weights).filter(key_of() >= key).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomcount.llm import ann, bpe, exact_dedup, hilbert, line_dedup, mixing, quality, secrets, url_filter
+from loomcount.llm import ann, bpe, exact_dedup, hilbert, jaccard_join, line_dedup, mixing, quality, secrets, url_filter
 from loomcount.llm.common import table
 
 #: The rules that op10 judges by.
@@ -18,7 +18,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "gumbel_key", "kept")
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,13 +59,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_line_dedup, op4_exact_dedup, op5_nearest_neighbours, op6_hilbert_sharding, op8_bpe, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_line_dedup, op4_exact_dedup, op5_nearest_neighbours, op6_hilbert_sharding, op7_jaccard_join, op8_bpe, op9_mixing, op10_url_filter)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER.format("coalesce(text, '')")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op7_jaccard_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+        e AS (SELECT doc_id, unnest(s) AS g FROM s),
+        f AS (SELECT e.doc_id, e.g FROM e JOIN (SELECT g FROM e GROUP BY g HAVING count(*) > 1) USING (g)),
+        n AS (SELECT doc_id, len(s) AS n_shingles FROM s),
+        l AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM f x JOIN f y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL)
+              JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n_shingles + q.n_shingles - c)),
+        r AS (SELECT doc_id, doc_id AS to_id FROM n UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.to_id)
+        SELECT doc_id, n_shingles, component_id FROM n JOIN (SELECT doc_id, min(to_id) AS component_id FROM r GROUP BY doc_id) USING (doc_id)""",
     "op10_url_filter": f"""
         WITH r(host, path, verdict) AS (VALUES {", ".join(str(r) for r in URL_RULES)}),
         u AS (SELECT page_id, {_LOWER.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host,
