@@ -1,4 +1,4 @@
 """The queries of the engine and their SQL."""
 
-from loomcount.plans import text_queries  # noqa: F401
+from loomcount.plans import metric_queries, text_queries  # noqa: F401
 from loomcount.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
