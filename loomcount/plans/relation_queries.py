@@ -55,10 +55,10 @@ def feature_families(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", "n_chars").join(t.labels.select("doc_id", big("quality", "quality")), "doc_id").join(e, "doc_id")
 
 
-@query(f"WITH {_TURNS}, w AS (SELECT conv_id, turn, string_split(lower(src), ' ')[:8] AS s, string_split(lower(trg), ' ')[:8] AS t FROM u), x AS (SELECT conv_id, turn, unnest(s) AS sw, t FROM w), y AS (SELECT sw, unnest(t) AS tw FROM x) SELECT sw, tw, count(*) AS n FROM y GROUP BY ALL")
+@query(f"WITH {_TURNS}, w AS (SELECT conv_id, turn, string_split(lower(src), ' ') AS s, string_split(lower(trg), ' ') AS t FROM u), x AS (SELECT conv_id, turn, unnest(s) AS sw, t FROM w), y AS (SELECT sw, unnest(t) AS tw FROM x) SELECT sw, tw, count(*) AS n FROM y GROUP BY ALL")
 def word_pairs(t: Tables) -> DataFrame:
-    """Words of both sides of a pair, the first eight of each"""
-    first = lambda c: F.slice(F.split(F.lower(c), " "), 1, 8)
+    """Words of both sides of a pair"""
+    first = lambda c: F.split(F.lower(c), " ")
     p = turn_pairs(t).select(F.explode(first("src")).alias("sw"), first("trg").alias("t"))
     return p.select("sw", F.explode("t").alias("tw")).groupBy("sw", "tw").agg(F.count(F.lit(1)).alias("n"))
 
@@ -77,12 +77,12 @@ def asof_boundary(t: Tables) -> DataFrame:
     return met.select("o_orderkey", F.coalesce(F.array_min(F.filter("bounds", lambda v: v >= F.col("x"))), F.col("later")).alias("bound"))
 
 
-_EDGES = "e AS (SELECT l_suppkey % 97 AS src, l_partkey % 89 AS dst, count(*) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL), m AS (SELECT src AS node, sum(n)::DOUBLE AS x FROM e GROUP BY src)"
+_EDGES = "e AS (SELECT l_suppkey % 97 AS src, l_partkey % 89 AS dst, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT src AS node, sum(n)::DOUBLE AS x FROM e GROUP BY src)"
 _RATIO = "CASE WHEN {1} <> 0 THEN {0} / {1} WHEN {0} = 0 THEN 1 ELSE 0 END"
 
 
 def edges(t: Tables) -> tuple[DataFrame, DataFrame]:
-    e = t.lineitem.filter("l_linenumber <= 3").groupBy((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 89).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    e = t.lineitem.groupBy((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 89).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
     return e, e.groupBy(F.col("src").alias("node")).agg(F.sum("n").cast("double").alias("x"))
 
 
@@ -165,13 +165,13 @@ def two_sided_diff(t: Tables) -> DataFrame:
     return d.groupBy("side", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(1.0 / F.count(F.lit(1)), 9).alias("prob"))
 
 
-_LINKS = f"""{_TURNS}, p AS (SELECT conv_id, turn, string_split(lower(src), ' ')[:20] AS s, string_split(lower(trg), ' ')[:20] AS t FROM u),
+_LINKS = f"""{_TURNS}, p AS (SELECT conv_id, turn, string_split(lower(src), ' ') AS s, string_split(lower(trg), ' ') AS t FROM u),
     x AS (SELECT conv_id, turn, unnest(s) AS sw, unnest(range(len(s))) AS i, t FROM p), y AS (SELECT conv_id, turn, i, sw, unnest(t) AS tw, unnest(range(len(t))) AS j FROM x),
     a AS (SELECT DISTINCT conv_id, turn, i, j FROM y WHERE sw = tw), b AS (SELECT DISTINCT conv_id, turn, i, j FROM y WHERE substr(sw, 1, 2) = substr(tw, 1, 2) AND abs(i - j) < 6)"""
 
 
 def links(t: Tables) -> tuple[DataFrame, DataFrame]:
-    first = lambda c: F.slice(F.split(F.lower(c), " "), 1, 20)
+    first = lambda c: F.split(F.lower(c), " ")
     x = turn_pairs(t).select("conv_id", "turn", F.posexplode(first("src")).alias("i", "sw"), first("trg").alias("t")).select("conv_id", "turn", "i", "sw", F.posexplode("t").alias("j", "tw"))
     a = x.filter("sw = tw").select("conv_id", "turn", "i", "j").distinct()
     return a, x.filter("substr(sw, 1, 2) = substr(tw, 1, 2) AND abs(i - j) < 6").select("conv_id", "turn", "i", "j").distinct()

@@ -1 +1,38 @@
-"""streaming of the engine; see README.md."""
+"""Structured Streaming forms of the stream operators."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomcount.operators import lmstate
+
+
+def daily_counts(stream: DataFrame, ts: str, *by: str, lateness: str = "1 day") -> DataFrame:
+    """Counts in tumbling windows of a day behind a watermark; naive timestamps are taken as UTC."""
+    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, lateness)
+    return rows.groupBy(F.window(ts, "1 day").alias("w"), *by).agg(F.count(F.lit(1)).alias("cnt")).select(F.col("w.start").alias("day"), *by, "cnt")
+
+
+def period_updates(stream: DataFrame, count: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, least: int = 2):
+    """A writer that merges each micro-batch into the state table under `path` (a folder for each batch, the newest is the state). A batch that comes again overwrites
+    its own folder, so a restart repeats nothing."""
+
+    def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        counts = count(batch)
+        order = F.conv(F.substring(F.md5("gram"), 1, 12), 16, 10).cast("bigint")
+        if epoch == 0:
+            state = lmstate.supported(counts, least, "gram", "ord").withColumn("hit", F.lit(True)).select("gram", "ord", "cnt", "hit")
+        else:
+            state = lmstate.period(spark.read.parquet(f"{path}/{epoch - 1}"), counts, least, order)
+        state.write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+
+
+def per_document(docs: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """A function of a pandas frame for each batch of documents."""
+    return docs.mapInPandas(lambda batches: (f(b) for b in batches), schema)
