@@ -41,7 +41,7 @@ def class_moments(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_X}, m AS (SELECT f, label, avg(v) AS mean, var_pop(v) AS var FROM x GROUP BY ALL),
-    s AS (SELECT id, m.label AS k, sum(ln(greatest(exp(-(v - mean) ** 2 / (2 * var)) / sqrt(2 * 3.14159 * var), 1e-300))) AS score FROM x JOIN m USING (f) WHERE var > 1e-12 GROUP BY id, m.label)
+    s AS (SELECT id, m.label AS k, sum(ln(greatest(exp(-((v - mean) ** 2) / (2 * var)) / sqrt(2 * 3.14159 * var), 1e-300))) AS score FROM x JOIN m USING (f) WHERE var > 1e-12 GROUP BY id, m.label)
     SELECT id, k::BIGINT AS label, round(ln(CASE WHEN k = 1 THEN 0.9 ELSE 0.1 END) + score, 5) AS score FROM s""")
 def nb_gaussian_scores(t: Tables) -> DataFrame:
     """Fixed priors 0.1 and 0.9"""
