@@ -1 +1,23 @@
 """Text, stream, graph and classifier analytics as DataFrame functions."""
+
+from __future__ import annotations
+
+_shipped: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Sends this package to the executors' Python workers, once for each application, so that it need not be installed there."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).parent
+    at = Path(tempfile.mkdtemp(prefix="loomcount-")) / "loomcount.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(at))
+    _shipped.add(sc.applicationId)
