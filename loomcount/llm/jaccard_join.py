@@ -2,7 +2,7 @@
 
 A document's set are the hashes (64 bits) of its distinct SIZE-word shingles. Two sets link when 100 * |A and B| >= 80 * |A or B|. Documents
 with equal sets are one node. Nodes are indexed by the prefix of their set: with the rarest shingles first, two linked sets share
-one of their first n - ceil(0.8 n) + 1 shingles. Rareness comes from a table of 2^SKETCH_BITS counts over all documents; it
+l of their first n - ceil(0.8 n) + l shingles; l is 1 + n / 20, so that a passage in common makes no pair. Rareness comes from a table of 2^SKETCH_BITS counts over all documents; it
 orders the shingles and decides nothing else.
 
 Index lists hold (node, set size, position) and are skipped by position and by relation:
@@ -10,9 +10,10 @@ Index lists hold (node, set size, position) and are skipped by position and by r
 1. In each list (a hot one in salted parts) nodes of like size point to the first of them, their leader; leaders of a
    list point to the first leader. A node is compared with the leaders that it meets most often, and links found join components.
 2. A set takes over the answer of its leader: what lies in one component is compared no more, and lists that hold a single
-   component are dropped. In the lists that are left, sorted in blocks of sizes and by position inside a block, a node meets only blocks of sizes that
+   component are dropped. Some rounds follow in which a node tries members of the largest other component of its lists, which
+   joins components with one link each. In the lists that are left, sorted in blocks of sizes and by position inside a block, a node meets only blocks of sizes that
    can link, and of these only the positions after which enough shingles are left to reach the needed overlap; pairs of one component are
-   left out. All remaining pairs are verified, so that no component loses a link.
+   left out. All remaining pairs that meet l times are verified, so that no component loses a link.
 
 Verification reads texts again for the nodes that are in some pair (a bit table of fixed size picks them out) and intersects whole sets.
 Components are found by alternating large and small stars on tables in the shared folder. Lists of more than LIST nodes are dealt
@@ -25,6 +26,7 @@ has an id; rows that repeat a doc_id or text are linked; an empty table gives an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomcount.llm.common import drop_written, written
 
-SIZE, SKETCH_BITS, SLICES, NODE_BITS, LIST, SALT_AT, LEADERS = 5, 20, 64, 23, 32_768, 50_000, 2
+SIZE, SKETCH_BITS, SLICES, NODE_BITS, LIST, SALT_AT, LEADERS, ROUNDS = 5, 22, 64, 23, 32_768, 50_000, 2, 4
 
 
 def _sets(column):
@@ -66,6 +68,11 @@ def _node(grams) -> int:
     return int(ng.mix(np.array([ng.mix(grams).sum() + np.uint64(len(grams))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _least(n):
+    """How many prefix shingles two linked sets share at least, by their smaller size."""
+    return 1 + n // 20
+
+
 def _texts(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(*[F.col(c).cast("long").alias(c) for c in cols], F.coalesce("text", F.lit("")).alias("text"))
 
@@ -79,31 +86,37 @@ def _first_pass(docs: DataFrame) -> DataFrame:
 
         names = ["kind", "doc_id", "node", "n", "slice", "counts"]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
+
+        def add(some):
+            bucket, n = np.unique(np.concatenate(some) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+            total[bucket] += n.astype(np.uint32)
+
         for b in batches:
             node, n = [None] * b.num_rows, np.zeros(b.num_rows, dtype=np.int64)
-            some = []
+            some, held = [], 0
             for i, grams in _sets(b.column(1)):
                 node[i], n[i] = _node(grams), len(grams)
                 some.append(grams)
-                if len(some) > 512:
-                    total += np.bincount((np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-                    some = []
+                held += len(grams)
+                if held > 500_000:
+                    add(some)
+                    some, held = [], 0
             if some:
-                total += np.bincount((np.concatenate(some) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+                add(some)
             m = b.num_rows
             cols = [np.zeros(m, dtype=np.int32), b.column(0), node, n, [None] * m, [None] * m]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
         if total.any():
             parts = np.split(total, SLICES)
-            cols = [[1] * SLICES, [None] * SLICES, [None] * SLICES, [None] * SLICES, list(range(SLICES)), [p.astype("<u4").tobytes() for p in parts]]
+            cols = [[1] * SLICES, [None] * SLICES, [None] * SLICES, [None] * SLICES, list(range(SLICES)), [zlib.compress(np.ascontiguousarray(p.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for p in parts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
     return _texts(docs, "doc_id").mapInArrow(run, "kind int, doc_id long, node long, n long, slice int, counts binary")
 
 
 def _levels(first: DataFrame):
-    """One byte for each sketch bucket: twice the logarithm of its count. 2^SKETCH_BITS bytes come to the driver."""
+    """One byte for each sketch bucket: four times the logarithm of its count. 2^SKETCH_BITS bytes come to the driver."""
     import numpy as np
 
     def add(batches: Iterator) -> Iterator:
@@ -113,10 +126,10 @@ def _levels(first: DataFrame):
         total: dict = {}
         for b in batches:
             for s, c in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = np.frombuffer(c.as_py(), dtype="<u4").astype(np.int64)
+                x = np.ascontiguousarray(np.frombuffer(zlib.decompress(c.as_py()), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
                 total[s] = total[s] + x if s in total else x
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.floor(2 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], names=["slice", "level"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.floor(4 * np.log2(np.maximum(x, 1))).astype(np.uint8).tobytes() for x in total.values()], pa.binary())], names=["slice", "level"])
 
     got = first.filter("kind = 1").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, "slice int, level binary").collect()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint8)
@@ -147,10 +160,10 @@ def _postings(docs: DataFrame, levels) -> DataFrame:
                 if node in seen:
                     continue
                 seen.add(node)
-                p = n - -(-4 * n // 5) + 1
+                p = min(n, n - -(-4 * n // 5) + _least(n))
                 common = level[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 best = np.lexsort((grams, common))[:p]
-                parts = np.maximum(1, (2.0 ** (common[best] / 2) / SALT_AT).astype(np.int64))
+                parts = np.maximum(1, (2.0 ** (common[best] / 4) / SALT_AT).astype(np.int64))
                 out.append((grams[best].view(np.int64), ((node & 0x7FFFFFFF) % parts).astype(np.int32), np.full(p, node), np.full(p, n, dtype=np.int32), np.arange(p, dtype=np.int32)))
                 rows += p
                 if rows > 50_000:
@@ -182,6 +195,9 @@ def _shared(postings: DataFrame) -> DataFrame:
                 continue
             if held is not None:
                 x = [np.concatenate([h, c]) for h, c in zip(held[0], x, strict=True)]
+            again = np.zeros(len(x[0]), dtype=bool)
+            again[1:] = (x[0][1:] == x[0][:-1]) & (x[2][1:] == x[2][:-1])  # copies that other tasks named too
+            x = [c[~again] for c in x]
             token, salt, node, n = x[:4]
             kind = np.floor(np.log(n) / np.log(1.25)).astype(np.int64)
             new = np.ones(len(token), dtype=bool)
@@ -206,9 +222,27 @@ def _shared(postings: DataFrame) -> DataFrame:
 def _cross(lists: DataFrame) -> DataFrame:
     """Pairs a, b of different components that one of the lists (token, i, j; sorted) lets link."""
 
+    def fits(n_x, pos_x, n_y, pos_y):
+        """Whether both places count for the pair, and how many such places it needs."""
+        import numpy as np
+
+        least = _least(np.minimum(n_x, n_y))
+        room = least - 1 - -(-4 * (n_x + n_y) // 9)
+        return (np.minimum(n_x, n_y) * 5 >= np.maximum(n_x, n_y) * 4) & (pos_x <= n_x + room) & (pos_y <= n_y + room), np.asarray(least, dtype=np.int64)
+
     def pairs(node, n, pos, comp, part, i, j):
         import numpy as np
 
+        if len(node) <= 64:
+            x, y = np.triu_indices(len(node), 1)
+            x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
+            if i != j:
+                x, y = x[part[x] != part[y]], y[part[x] != part[y]]
+            good, least = fits(n[x], pos[x], n[y], pos[y])
+            x, y = node[x[good]], node[y[good]]
+            if len(x):
+                yield np.minimum(x, y), np.maximum(x, y), least[good]
+            return
         block = np.floor(np.log(n) / np.log(1.05)).astype(np.int64)
         order = np.lexsort((pos, block))
         node, n, pos, comp, part, block = (c[order] for c in (node, n, pos, comp, part, block))
@@ -217,20 +251,20 @@ def _cross(lists: DataFrame) -> DataFrame:
         low = np.array([n[s:e].min() for s, e in zip(starts, ends, strict=True)])
         high = np.array([n[s:e].max() for s, e in zip(starts, ends, strict=True)])
         for x in range(len(node)):
-            # blocks of smaller or like sizes; what is left after a position must reach the overlap that the pair needs
+            # blocks of smaller or like sizes, and of these the places up to the last that can count
             for k in np.flatnonzero((high * 5 >= n[x] * 4) & (low <= n[x])):
                 s, e = starts[k], ends[k]
-                need = -(-4 * (int(n[x]) + int(low[k])) // 9)
-                if n[x] - pos[x] < need:
+                room = int(_least(high[k])) - 1 - -(-4 * (int(n[x]) + int(low[k])) // 9)
+                if pos[x] > n[x] + room:
                     continue
-                e = s + np.searchsorted(pos[s:e], high[k] - need, side="right")
-                y = np.arange(s, e)
-                y = y[(comp[y] != comp[x]) & ((n[y] < n[x]) | ((n[y] == n[x]) & (node[y] < node[x]))) & (n[y] * 5 >= n[x] * 4)]
+                y = np.arange(s, s + np.searchsorted(pos[s:e], high[k] + room, side="right"))
+                y = y[(comp[y] != comp[x]) & ((n[y] < n[x]) | ((n[y] == n[x]) & (node[y] < node[x])))]
                 if i != j:
                     y = y[part[y] != part[x]]
-                y = y[(np.minimum(n[x] - pos[x], n[y] - pos[y]) * 9 >= 4 * (n[x] + n[y]))]
+                good, least = fits(n[x], pos[x], n[y], pos[y])
+                y = y[good]
                 if len(y):
-                    yield np.minimum(node[y], node[x]), np.maximum(node[y], node[x])
+                    yield np.minimum(node[y], node[x]), np.maximum(node[y], node[x]), least[good]
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -244,7 +278,7 @@ def _cross(lists: DataFrame) -> DataFrame:
                 if e - s > 1:
                     out += pairs(*(c[s:e] for c in x[3:]), i[s], j[s])
                 if sum(len(o[0]) for o in out) > 50_000 or (out and e == len(token)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "least"])
                     out = []
 
         held = None
@@ -263,7 +297,7 @@ def _cross(lists: DataFrame) -> DataFrame:
             yield from found(held)
 
     cols = ["token", "i", "j", "node", "n", "pos", "comp", "part"]
-    return lists.select(*cols).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return lists.select(*cols).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long, least long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.first("least").alias("least")).filter("met >= least").select("a", "b")
 
 
 def _node_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -369,11 +403,33 @@ def join(docs: DataFrame) -> DataFrame:
     links = written(_verified(docs, tried), "jaccard-links")
     comp = written(components(links), "jaccard-components")
 
-    known = shared.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("token", F.ceil(F.col("size") / LIST).cast("int").alias("parts"))
-    left = known.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    left = left.withColumn("k", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("i", F.least("k", "part")).withColumn("j", F.greatest("k", "part"))
-    more = written(_cross(left).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+    def mixed(rows: DataFrame, name: str) -> DataFrame:
+        """The lists of rows that hold more than one component, with comp anew."""
+        known = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        some = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("token", "size")
+        return written(known.join(some, "token"), name)
+
+    left = mixed(shared.select("token", "node", "n", "pos"), "jaccard-left")
+    for k in range(ROUNDS):
+        # in each list a member of its largest component and one of the next
+        heads = left.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n")).alias("head"))
+        top = heads.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(F.desc("size"), "comp"))).filter("k <= 2")
+        top = top.groupBy("token").agg(F.min_by(F.struct("comp", "head.node", "head.n"), "k").alias("one"), F.max_by(F.struct("comp", "head.node", "head.n"), "k").alias("two"))
+        met = left.select("token", "node", "n", "comp").join(top, "token").withColumn("to", F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one")))
+        met = met.filter("least(n, to.n) * 5 >= greatest(n, to.n) * 4").groupBy("node", F.col("to.node").alias("leader")).agg(F.count(F.lit(1)).alias("n"))
+        best = met.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "leader"))).filter(F.col("k") <= LEADERS)
+        more = written(best.select(*pair("node", "leader")).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-more")
+        found = written(_verified(docs, more), "jaccard-links") if more.limit(1).count() else more
+        tried = tried.union(more)
+        if not found.limit(1).count():
+            break
+        links = links.union(found)
+        comp = written(components(links), "jaccard-components")
+        left = mixed(left.select("token", "node", "n", "pos"), "jaccard-left")
+
+    parts = left.withColumn("parts", F.ceil(F.col("size") / LIST).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    parts = parts.withColumn("k", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("i", F.least("k", "part")).withColumn("j", F.greatest("k", "part"))
+    more = written(_cross(parts).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
     if more.limit(1).count():
         comp = written(components(links.union(_verified(docs, more))), "jaccard-components")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 1 << 22  # bytes hashed at once; a longer text makes a chunk of its own
+CHUNK = 1 << 18  # bytes hashed at once, so that the vectors stay in the cache; a longer text makes a chunk of its own
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20)

@@ -5,7 +5,8 @@ meet other signs). Two multinomial models over the buckets are fitted: the raw o
 seeded sample of labelled good documents (quality 1, not toxic; at most SAMPLE labelled rows are looked at). A document's log weight is
 the sum over its n-grams of log p_target - log p_raw. Documents are then sampled without replacement in proportion to their
 weights: Gumbel noise, seeded by the document, is added to the log weights and the k largest are kept. Unless given, k is the number of
-documents whose log weight reaches the level that best parts the labelled sample while keeping at least KEEP of its good documents.
+documents whose log weight reaches a level. The level is found on a half of the labelled sample that the target model has not seen: it parts good
+from other rows best among the levels that keep at least KEEP of the good ones, and is never above 0, the weight of a text without evidence.
 
 Counting and scoring read the texts twice; what is gathered is BUCKETS counts a task, and what is broadcast are BUCKETS weights. The
 k-th largest key is found by counting keys in ever smaller ranges, without sorting the corpus into one task.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from loomcount.llm.common import written
 
 BITS = 14
-BUCKETS, SAMPLE, KEEP, SEED = 1 << BITS, 20_000, 0.99, 11
+BUCKETS, SAMPLE, KEEP, SEED = 1 << BITS, 20_000, 0.995, 11
 
 
 def _features(column):
@@ -73,7 +74,8 @@ def _counts(docs: DataFrame):
 def log_ratio(target, raw):
     import numpy as np
 
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS)) if target.sum() else np.zeros(BUCKETS)
+    p = (raw + 1) / (raw.sum() + BUCKETS)  # also the prior of the target, worth one count a bucket
+    return np.log((target + BUCKETS * p) / (target.sum() + BUCKETS)) - np.log(p) if target.sum() else np.zeros(BUCKETS)
 
 
 def scored(docs: DataFrame, weights) -> DataFrame:
@@ -135,12 +137,12 @@ def level(good, other, keep: float = KEEP) -> float:
     import numpy as np
 
     if not len(good):
-        return -np.inf
+        return 0.0
     most = np.quantile(good, 1 - keep)
     at = np.unique(np.concatenate([good[good <= most], other[other <= most], [most]]))
     lost = np.searchsorted(np.sort(good), at, side="left") / len(good)
     caught = np.searchsorted(np.sort(other), at, side="left") / max(1, len(other))
-    return float(at[np.argmax(caught - lost)])
+    return min(0.0, float(at[np.argmax(caught - lost)]))
 
 
 def key_of() -> Column:
@@ -151,9 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
     """The buckets' weights and the level for the log weight."""
     import numpy as np
 
-    sample = written(labelled_sample(docs, labels), "quality-sample")
-    weights = log_ratio(_counts(sample.filter("good")), _counts(docs))
-    seen = scored(sample, weights).select("good", "log_weight").collect()  # at most SAMPLE rows, unless ids repeat
+    half = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2)) == 0
+    sample = written(labelled_sample(docs, labels).withColumn("fitted", half), "quality-sample")
+    weights = log_ratio(_counts(sample.filter("good AND fitted")), _counts(docs))
+    seen = scored(sample.filter("NOT fitted"), weights).select("good", "log_weight").collect()  # at most SAMPLE rows, unless ids repeat
     good, other = (np.array([r[1] for r in seen if r[0] == x]) for x in (True, False))
     return weights, level(good, other)
 
