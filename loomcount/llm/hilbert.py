@@ -90,7 +90,7 @@ def write_shards(docs: DataFrame, path: str, dims: tuple[str, ...] = ("lang", "s
     text = F.coalesce(F.col("text"), F.lit(""))
     key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.col("text_crc32").alias("_crc")]
     same = W.partitionBy("_id", "_crc")
-    placed = assign(docs, dims, shards).select(*key, "shard", "slot", F.row_number().over(same.orderBy("slot")).alias("_nth"))
+    placed = assign(docs, dims, shards).select(*key, "shard", "slot").withColumn("_nth", F.row_number().over(same.orderBy("shard", "slot")))
     left = docs.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(-1)), "_crc": F.crc32(text.cast("binary"))}).withColumn("_nth", F.row_number().over(same.orderBy("_id")))
     out = left.join(placed, ["_id", "_crc", "_nth"]).drop("_id", "_crc", "_nth")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)

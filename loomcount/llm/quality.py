@@ -78,8 +78,8 @@ def log_ratio(target, raw):
     return np.log((target + BUCKETS * p) / (target.sum() + BUCKETS)) - np.log(p) if target.sum() else np.zeros(BUCKETS)
 
 
-def scored(docs: DataFrame, weights) -> DataFrame:
-    """docs with log_weight appended."""
+def scored(docs: DataFrame, weights, name: str = "log_weight") -> DataFrame:
+    """docs with the log weight appended."""
     import numpy as np
 
     sent = docs.sparkSession.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))
@@ -96,9 +96,9 @@ def scored(docs: DataFrame, weights) -> DataFrame:
             out = np.zeros(b.num_rows)
             for a, n, bucket, text in _features(pc.fill_null(b.column(at), "")):
                 out[a : a + n] = np.bincount(text, weights=w[bucket], minlength=n)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*names, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], names=[*names, name])
 
-    return docs.mapInArrow(score, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", log_weight double")
+    return docs.mapInArrow(score, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{name}` double")
 
 
 def gumbel(seed: int, *cols: Column) -> Column:
@@ -145,8 +145,8 @@ def level(good, other, keep: float = KEEP) -> float:
     return min(0.0, float(at[np.argmax(caught - lost)]))
 
 
-def key_of() -> Column:
-    return F.col("log_weight") + gumbel(SEED, F.col("doc_id").cast("long"), F.xxhash64("text"))
+def key_of(name: str = "log_weight") -> Column:
+    return F.col(name) + gumbel(SEED, F.col("doc_id").cast("long"), F.xxhash64("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple:
@@ -180,4 +180,4 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> tuple[
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The rows of docs whose key reaches the k-th largest one, all columns; texts are scored where they are, not shuffled."""
     _, weights, key = resample(docs, labels, k)
-    return scored(docs, weights).filter(key_of() >= key).select(*docs.columns)
+    return scored(docs, weights, "_log_weight").filter(key_of("_log_weight") >= key).select(*docs.columns)
