@@ -40,8 +40,8 @@ def rates(c: DataFrame) -> DataFrame:
     n = tp + fn + fp + tn
     pre, rec = F.try_divide(tp, tp + fp), F.try_divide(tp, tp + fn)
     return c.withColumns({
-        "acc": (tp + tn) / n, "ppv": pre, "npv": F.try_divide(tn, tn + fn), "sen": rec, "spc": F.try_divide(tn, tn + fp), "pre": pre, "rec": rec,
-        "f1": F.try_divide(2 * pre * rec, pre + rec), "lift": F.try_divide(pre, (tp + fn) / n),
+        "acc": F.try_divide(tp + tn, n), "ppv": pre, "npv": F.try_divide(tn, tn + fn), "sen": rec, "spc": F.try_divide(tn, tn + fp), "pre": pre, "rec": rec,
+        "f1": F.try_divide(2 * pre * rec, pre + rec), "lift": F.try_divide(pre, F.try_divide(tp + fn, n)),
     })
 
 

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _cells(c: str = "value"):
+    return F.filter(F.split(c, r"\s+"), lambda x: x != "")
+
+
 def lines(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
     """value, path, period (the number after a word such as stream or week in the file's name; null without one). Plain, .gz and .bz2."""
     reader = spark.read.option("recursiveFileLookup", recursive)
@@ -34,14 +38,14 @@ def write_counts(df: DataFrame, path: str) -> None:
 def series_matrix(rows: DataFrame, skip: int = 0, column: int | None = None) -> DataFrame:
     """epoch (from 1, after `skip` header rows), stream, part, value of rows (line: number from 0, value: text): cells are separated by white space, a cell may pack
     parts with slashes (S08). -1 stays a value."""
-    r = rows.filter(F.col("line") >= skip).select((F.col("line") - skip + 1).alias("epoch"), F.posexplode(F.split(F.trim("value"), r"\s+")).alias("stream", "cell"))
+    r = rows.filter(F.col("line") >= skip).select((F.col("line") - skip + 1).alias("epoch"), F.posexplode(_cells()).alias("stream", "cell"))
     r = r if column is None else r.filter(F.col("stream") == column)
     return r.select("epoch", "stream", F.posexplode(F.split("cell", "/")).alias("part", "value")).withColumn("value", F.col("value").try_cast("double"))
 
 
 def gold_column(rows: DataFrame, index: int = -1, part: int | None = None) -> DataFrame:
     """line, value: the last (or an indexed) cell of each line, or one part of it."""
-    cells = F.split(F.trim("value"), r"\s+")
+    cells = _cells()
     cell = F.element_at(cells, -1) if index < 0 else F.get(cells, F.lit(index))
     return rows.select("line", (cell if part is None else F.get(F.split(cell, "/"), F.lit(part))).try_cast("double").alias("value"))
 
@@ -76,14 +80,14 @@ def feature_csv(spark: SparkSession, path: str, ids: DataFrame, width: int) -> D
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """id, label (spam 1, nonspam -1) of lines `id label`; undecided ones are dropped."""
-    v = F.split(F.trim("value"), r"\s+")
+    v = _cells()
     got = spark.read.text(path).select(F.get(v, F.lit(0)).try_cast("bigint").alias("id"), F.get(v, F.lit(1)).alias("name"))
     return got.filter("name IN ('spam', 'nonspam') AND id IS NOT NULL").select("id", F.when(F.col("name") == "spam", 1).otherwise(-1).alias("label"))
 
 
 def host_graph(rows: DataFrame) -> DataFrame:
     """src, dst, n of rows (line: the source, value: `dst:count ...`)."""
-    e = rows.select(F.col("line").alias("src"), F.explode(F.split(F.trim("value"), r"\s+")).alias("e")).filter("e LIKE '%:%'")
+    e = rows.select(F.col("line").alias("src"), F.explode(_cells()).alias("e")).filter("e LIKE '%:%'")
     return e.select("src", F.split_part("e", F.lit(":"), F.lit(1)).cast("bigint").alias("dst"), F.split_part("e", F.lit(":"), F.lit(2)).cast("bigint").alias("n"))
 
 
@@ -154,13 +158,13 @@ def parallel(src: DataFrame, trg: DataFrame, most: int) -> DataFrame:
 
 def translation_table(spark: SparkSession, path: str) -> DataFrame:
     """s, t, lp of lines `s t idx p`."""
-    v = F.split(F.trim("value"), r"\s+")
+    v = _cells()
     return spark.read.text(path).filter(F.size(v) == 4).select(F.get(v, F.lit(0)).alias("s"), F.get(v, F.lit(1)).alias("t"), F.log(F.nullif(F.get(v, F.lit(3)).try_cast("double"), F.lit(0.0))).alias("lp"))
 
 
 def alignments(rows: DataFrame) -> DataFrame:
     """sid, i, j of rows (line, value: `i-j i-j`)."""
-    e = rows.select(F.col("line").alias("sid"), F.explode(F.split(F.trim("value"), r"\s+")).alias("e")).filter("e LIKE '%-%'")
+    e = rows.select(F.col("line").alias("sid"), F.explode(_cells()).alias("e")).filter("e LIKE '%-%'")
     return e.select("sid", F.split_part("e", F.lit("-"), F.lit(1)).cast("int").alias("i"), F.split_part("e", F.lit("-"), F.lit(2)).cast("int").alias("j"))
 
 
@@ -180,7 +184,7 @@ def grammar_lines(rules: DataFrame) -> DataFrame:
 
 def word_classes(spark: SparkSession, path: str) -> DataFrame:
     """word, class of lines `word class`."""
-    v = F.split(F.trim("value"), r"\s+")
+    v = _cells()
     return spark.read.text(path).filter(F.size(v) == 2).select(F.get(v, F.lit(0)).alias("word"), F.get(v, F.lit(1)).alias("class"))
 
 
@@ -195,7 +199,7 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def metric_pairs(spark: SparkSession, path: str, blocks: bool = False) -> DataFrame:
     """y, p (and block) of lines `[block] target prediction`."""
-    v = F.split(F.trim("value"), r"\s+")
+    v = _cells()
     k = int(blocks)
     cols = [F.get(v, F.lit(0)).try_cast("bigint").alias("block")] * blocks + [F.get(v, F.lit(k)).try_cast("double").alias("y"), F.get(v, F.lit(k + 1)).try_cast("double").alias("p")]
     return spark.read.text(path).filter(F.size(v) == 2 + k).select(*cols)
