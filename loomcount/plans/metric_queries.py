@@ -156,3 +156,12 @@ def binarised_targets(t: Tables) -> DataFrame:
     """E-preprocessing: targets at or above their mean are positive"""
     b = me.binarised(t.events.select(F.col("value").alias("y"), (((F.col("event_id") * 17) % 100) / 100.0).alias("p")))
     return b.agg(big(F.sum("y"), "ones"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_G}, a AS (SELECT avg(((p >= 0.5) = (y = 1))::INT) AS acc, sqrt(avg((y - p) ** 2)) AS rms FROM s), r AS (SELECT sum((n - pos) * (hits + pos / 2)) / (any_value(positives) * (any_value(total) - any_value(positives))) AS roc FROM g)
+    SELECT round((acc + roc + 1 - rms) / 3, 6) AS sar FROM a, r""")
+def sar(t: Tables) -> DataFrame:
+    """The mean of accuracy, ROC area and 1 - RMS"""
+    s = scored(t)
+    one = me.rates(me.confusion(s, F.lit(0.5))).select("acc").crossJoin(me.errors(s).select("rms")).crossJoin(me.roc_area(me.tie_groups(s)))  # three tables of one row
+    return one.select(r6((F.col("acc") + F.col("roc") + 1 - F.col("rms")) / 3, "sar"))
