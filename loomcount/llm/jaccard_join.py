@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from loomcount.llm.common import drop_written, written
 
-SIZE, SKETCH_BITS, SLICES, NODE_BITS, LIST, SALT_AT, LEADERS, ROUNDS = 5, 22, 64, 23, 32_768, 50_000, 2, 4
+SIZE, SKETCH_BITS, SLICES, NODE_BITS, LIST, SALT_AT, LEADERS, ROUNDS = 5, 22, 64, 23, 32_768, 50_000, 2, 2
 
 
 def _sets(column):
@@ -370,7 +370,6 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (its smallest node) of every node in edges a, b."""
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
-    mark = None
     while True:
         sym = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -378,13 +377,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*")
         after = written(small.filter("u <> v").distinct(), "small-stars")
-        got = after.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         drop_written(large)
         drop_written(now)
         now = after
-        if tuple(got) == mark:
+        # done when every node either has one parent or is a root
+        ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+        if not ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).filter("ups > 1 OR (ups = 1 AND low = 0)").limit(1).count():
             break
-        mark = tuple(got)
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
@@ -398,16 +397,20 @@ def join(docs: DataFrame) -> DataFrame:
     heads = shared.filter("node = leader").select("token", "n", "node").distinct()
     top = heads.withColumn("leader", F.first("node").over(W.partitionBy("token").orderBy("n", "node"))).filter("node <> leader").groupBy("node", "leader").count()
     met = met.unionByName(top).groupBy("node", "leader").agg(F.sum("count").alias("n"))
+    sizes = shared.groupBy("node").agg(F.first("n").alias("size"))
+    met = met.join(sizes, "node").filter("n >= 1 + size div 60")  # what meets less often is left to the lists below
     best = met.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "leader"))).filter(F.col("k") <= LEADERS)
     tried = written(best.select(*pair("node", "leader")).distinct(), "jaccard-tried")
     links = written(_verified(docs, tried), "jaccard-links")
     comp = written(components(links), "jaccard-components")
 
     def mixed(rows: DataFrame, name: str) -> DataFrame:
-        """The lists of rows that hold more than one component, with comp anew."""
+        """The lists of rows that hold more than one component, with comp anew. Nodes that stand in fewer such lists than any pair of theirs needs go."""
         known = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         some = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("token", "size")
-        return written(known.join(some, "token"), name)
+        lists = written(known.join(some, "token"), name)
+        enough = lists.groupBy("node").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n")).filter("lists >= 1 + (4 * n div 5) div 20").select("node")
+        return written(lists.join(enough, "node"), f"{name}-kept")
 
     left = mixed(shared.select("token", "node", "n", "pos"), "jaccard-left")
     for k in range(ROUNDS):
