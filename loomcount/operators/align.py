@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcount.functions.special import lgamma, log_poisson
+from loomcount.sources.tables import written
 
 NULL = "<null>"
 
@@ -17,7 +18,7 @@ def word_links(pairs: DataFrame, src: Column, trg: Column) -> DataFrame:
     return a.groupBy("sid", "s", "t").agg(F.count(F.lit(1)).alias("n"))
 
 
-def model1(links: DataFrame, rounds: int, written=None) -> DataFrame:
+def model1(links: DataFrame, rounds: int, written=written) -> DataFrame:
     """s, t, p after so many EM rounds from a uniform start; `written` cuts the lineage between rounds."""
     probs = links.select("s", "t").distinct().withColumn("p", F.lit(1.0))
     for _ in range(rounds):
@@ -28,7 +29,7 @@ def model1(links: DataFrame, rounds: int, written=None) -> DataFrame:
         c = met.join(total, ["sid", "t"]).groupBy("s", "t").agg(F.sum(F.col("n") * F.col("p") / F.col("z") * F.col("unit")).alias("c"))
         by_s = c.groupBy("s").agg(F.sum("c").alias("cs"))
         probs = c.join(by_s, "s").select("s", "t", (F.col("c") / F.col("cs")).alias("p"))
-        probs = written(probs) if written else probs
+        probs = written(probs)
     return probs
 
 

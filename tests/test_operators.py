@@ -1,0 +1,76 @@
+"""Operators on small inputs with known answers."""
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from loomcount.functions import special as sp
+from loomcount.functions.ordered import numbered, running
+from loomcount.operators import align, lm, metrics, sketch
+
+
+def test_running_sums_are_in_order(spark):
+    rows = [(k % 37 if k % 11 else None, k, k % 3) for k in range(400)]
+    df = spark.createDataFrame(rows, "key int, v int, g int")
+    for down in (False, True):
+        got = running(df, "key", {"s": F.col("v")}, down, ("v",), ("g",)).collect()
+        for g in range(3):
+            mine = sorted((r for r in rows if r[2] == g), key=lambda r: (r[0] is None, (-r[0] if down else r[0]) if r[0] is not None else 0, r[1]))
+            want, s = {}, 0
+            for r in mine:
+                want[r[1]] = s
+                s += r[1]
+            assert {r["v"]: r["s"] for r in got if r["g"] == g} == want
+    assert sorted(r["n"] for r in numbered(df, "key", "n", then=("v",)).collect()) == list(range(1, 401))
+    assert numbered(df.limit(0), "key", "n").count() == 0
+
+
+def test_special_functions(spark):
+    df = spark.createDataFrame([(x,) for x in (0.05, 0.5, 1.0, 3.7, 25.0, 900.0)], "x double")
+    for r in df.select("x", sp.lgamma(F.col("x")).alias("g"), sp.digamma(F.col("x")).alias("d")).collect():
+        assert r["g"] == pytest.approx(math.lgamma(r["x"]), abs=1e-9, rel=1e-12)
+        h = 1e-5
+        assert r["d"] == pytest.approx((math.lgamma(r["x"] + h) - math.lgamma(r["x"] - h)) / (2 * h), rel=1e-5, abs=1e-5)
+    one = spark.range(1).select(sp.log_add(F.lit(-1000.0), F.lit(-1000.0)).alias("a"), sp.log_add(F.lit(None).cast("double"), F.lit(-2.0)).alias("b"), sp.ratio(F.lit(0.0), F.lit(0.0)).alias("c"), sp.ratio(F.lit(2.0), F.lit(0.0)).alias("d")).first()
+    assert one["a"] == pytest.approx(-1000 + math.log(2)) and one["b"] == -2.0 and (one["c"], one["d"]) == (1.0, 0.0)
+
+
+def test_metrics_by_hand(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.8), (1, 0.8), (0, 0.3), (1, 0.2)], "y int, p double")
+    g = metrics.tie_groups(df)
+    assert metrics.roc_area(g).first()[0] == pytest.approx((2 + 1.5) / 6)  # pairs of a positive above a negative, ties half
+    assert metrics.average_precision(g).first()[0] == pytest.approx((1 + (1 / 2) * (2 / 2) + (1 / 2) * (2 / 3) + 3 / 5) / 3)
+    assert metrics.last_rank(g).first()[0] == 5
+    assert metrics.break_even(g).first()[0] == pytest.approx(2 / 3)
+    assert metrics.rates(metrics.confusion(df.limit(0), F.lit(0.5))).count() == 1
+
+
+def test_count_min_never_below(spark):
+    df = spark.createDataFrame([(f"k{i % 50}",) for i in range(1000)], "key string")
+    est = sketch.point_estimates(df, "key", sketch.count_min(df, "key", 3, 16), 3, 16).collect()
+    assert len(est) == 50 and all(r["estimate"] >= 20 for r in est)
+
+
+def test_bloomier_rejects_most_unknown_keys(spark):
+    known = spark.createDataFrame([(f"k{i}", i % 30 + 1) for i in range(500)], "gram string, cnt long")
+    t = sketch.bloomier(known, "gram")
+    assert {r["gram"]: r["cnt"] for r in sketch.bloomier_query(known.select("gram"), "gram", t, 30).collect()} == {f"k{i}": i % 30 + 1 for i in range(500)}
+    unknown = spark.createDataFrame([(f"u{i}",) for i in range(500)], "gram string")
+    assert sketch.bloomier_query(unknown, "gram", t, 30).filter("cnt IS NOT NULL").count() < 10
+
+
+def test_quantiser_is_never_too_high():
+    codes = lm.codes(3, 1000)
+    assert codes[:4] == [1, 2, 3, 4] and max(codes) <= 1000
+
+
+def test_model1_learns_a_pair(spark):
+    pairs = spark.createDataFrame([("0", ["das", "haus"], ["the", "house"]), ("1", ["das", "buch"], ["the", "book"]), ("2", ["ein", "buch"], ["a", "book"])], "sid string, s array<string>, t array<string>")
+    p = {(r["s"], r["t"]): r["p"] for r in align.model1(align.word_links(pairs, F.col("s"), F.col("t")), 5).collect()}
+    assert p["das", "the"] > 0.7 and p["buch", "book"] > 0.7
+
+
+def test_inversion_grammar():
+    lp, links = align.itg_inside(["a", "b"], ["B", "A"], {("a", "A"): 0.9, ("b", "B"): 0.9})
+    assert links == [(0, 1), (1, 0)] and lp < 0
