@@ -113,7 +113,7 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without the deleted lines, with _lines (number before) and _gone (number deleted) appended."""
     gone = written(repeated_runs(docs, min_words), "line-gone").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone_lines"))
     left = docs.withColumn("_text_hash", F.xxhash64("text"))
-    # the same join at every size: what is deleted grows with the corpus
+    # the same join at every size: what is deleted grows with the corpus, so it is never broadcast
     met = left.join(gone.hint("merge"), left["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left")
     lines = F.split("text", "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone_lines"))
