@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 2_147_483_647
+#: Counts of a Bloomier store are below 2^COUNT_BITS, its cells and fingerprints have CELL_BITS.
+COUNT_BITS, CELL_BITS = 40, 63
 
 
 def universal(x: Column, a: int, b: int, width: int) -> Column:
@@ -88,14 +90,16 @@ def sampled_entropy(tokens: DataFrame, pos: str, key: str, s1: int, s2: int) ->
 
 
 def bloomier(counts: DataFrame, key: str, parts: int = 10, space: float = 1.23, most_tries: int = 50) -> DataFrame:
-    """part, seed, width, table of a static function from keys to codes (cnt below 2^15): three hashed cells a key are peeled one by one, codes are set
-    by xor with a 16-bit fingerprint. A part is one group; choose `parts` so that it fits a task."""
+    """part, seed, width, table of a static function from keys to counts below 2^COUNT_BITS: three hashed cells a key are peeled one by one, counts are
+    set by xor with a fingerprint of the cell's width. A larger count is an error. A part is one group; choose `parts` so that it fits a task."""
     import pandas as pd
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
         n, width = len(rows), max(4, int(space * len(rows)) + 3)
+        if rows["cnt"].max() >> COUNT_BITS:
+            raise ValueError(f"a count has more than {COUNT_BITS} bits")
         keys = rows["k"].to_numpy().astype(np.uint64)
         for seed in range(most_tries):
             cells, finger = _cells(keys, seed, width)
@@ -151,11 +155,11 @@ def _cells(keys, seed: int, width: int):
     third += third >= low
     third += third >= high
     cells[:, 2] = third
-    return cells, (mixed(3) & np.uint64(0xFFFF)).astype(np.int64)
+    return cells, (mixed(3) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def bloomier_query(keys: DataFrame, key: str, tables: DataFrame, most: int, parts: int = 10) -> DataFrame:
-    """key, cnt: null where the answer is no code from 1 to `most` (an unknown key passes by chance in about most / 2^16 of cases)."""
+    """key, cnt: null where the answer is no count from 1 to `most` (an unknown key passes by chance in about most / 2^CELL_BITS of cases)."""
     import pandas as pd
 
     def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -274,9 +274,9 @@ def fingerprint_store(t: Tables) -> DataFrame:
 
 @query()
 def bloomier_lookup(t: Tables) -> DataFrame:
-    """Counts below 2^15 stored in a static function and read back"""
-    c = ng.counts(t.documents, [1]).select("gram", "cnt").filter("cnt < 32768")
-    return sk.bloomier_query(c.select("gram"), "gram", sk.bloomier(c, "gram"), 32767)
+    """Counts of all words stored in a static function and read back, exact"""
+    c = ng.counts(t.documents, [1]).select("gram", "cnt")
+    return sk.bloomier_query(c.select("gram"), "gram", sk.bloomier(c, "gram"), (1 << sk.COUNT_BITS) - 1)
 
 
 _ENT = "c AS (SELECT event_type AS k, user_id AS u, count(*) AS n FROM events GROUP BY ALL)"
