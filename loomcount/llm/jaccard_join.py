@@ -15,6 +15,9 @@ Index lists hold (node, set size, position) and are skipped by position and by r
    can link, and of these only the positions after which enough shingles are left to reach the needed overlap; pairs of one component are
    left out. All remaining pairs that meet l times are verified, so that no component loses a link.
 
+`join` gives the components and leaves links inside a component untried. `links` and `link_counts` give all links: a link never leaves a component,
+so the different sets of each component are dealt into blocks of BLOCK and every two sets of a component are compared exactly, block by block.
+
 Verification reads texts again for the nodes that are in some pair (a bit table of fixed size picks them out) and intersects whole sets.
 Components are found by alternating large and small stars on tables in the shared folder. Lists of more than LIST nodes are dealt
 as pairs of parts, so that no task holds more than two parts.
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from loomcount.llm.common import drop_written, written
 
-SIZE, SKETCH_BITS, SLICES, NODE_BITS, LIST, SALT_AT, LEADERS, ROUNDS = 5, 22, 64, 23, 32_768, 50_000, 2, 2
+SIZE, SKETCH_BITS, SLICES, NODE_BITS, LIST, SALT_AT, LEADERS, ROUNDS, BLOCK = 5, 22, 64, 23, 32_768, 50_000, 2, 2, 128
 
 
 def _sets(column):
@@ -387,8 +390,8 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node, n of every row of docs; node, comp of the nodes that link with another."""
     first = written(_first_pass(docs), "jaccard-docs")
     shared = written(_shared(_postings(docs, _levels(first))), "jaccard-lists")
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
@@ -436,7 +439,12 @@ def join(docs: DataFrame) -> DataFrame:
     if more.limit(1).count():
         comp = written(components(links.union(_verified(docs, more))), "jaccard-components")
 
-    rows = first.filter("kind = 0").select("doc_id", "node", "n")
+    return first.filter("kind = 0").select("doc_id", "node", "n"), comp
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
+    rows, comp = _grouped(docs)
     low = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = low.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -444,6 +452,100 @@ def join(docs: DataFrame) -> DataFrame:
     return rows.join(to, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _blocks(docs: DataFrame, rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """comp, i, j, part, node, w (rows of docs with that set), text: the sets of each component in parts of about BLOCK, a row for each pair of parts that a set's part is in."""
+    size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    w = rows.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("w"))
+    texts = written(_node_texts(docs, comp.select(F.col("node").alias("a"), F.col("node").alias("b"))), "jaccard-texts")
+    parts = comp.join(size, "comp").join(w, "node").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    parts = parts.join(texts, "node").withColumn("k", F.explode(F.expr("sequence(0, parts - 1)")))
+    return parts.select("comp", F.least("k", "part").alias("i"), F.greatest("k", "part").alias("j"), "part", "node", "w", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "part", "node")
+
+
+def _compared(blocks: DataFrame, counts: bool) -> DataFrame:
+    """Every two sets of the same pair of parts compared: a, b of those that link, or for each set the rows that it links with (node, n)."""
+
+    def linked(sets, cut, same):
+        """Which of the first `cut` sets link with which of the others (of all, when both parts are the same)."""
+        import numpy as np
+
+        sizes = np.array([len(x) for x in sets])
+        gram, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        _, at, times = np.unique(gram, return_inverse=True, return_counts=True)
+        owner, at = owner[times[at] > 1], (np.cumsum(times > 1) - 1)[at[times[at] > 1]]  # shingles of a single set are in no intersection
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        both, width = np.zeros((cut, len(sets) if same else len(sets) - cut), dtype=np.int64), 8192
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+            s, e = np.searchsorted(at, (low, low + width))
+            has = np.zeros((len(sets), width), dtype=np.float32)
+            has[owner[s:e], at[s:e] - low] = 1
+            both += (has[:cut] @ (has if same else has[cut:]).T).astype(np.int64)
+        good = 100 * both >= 80 * (sizes[:cut, None] + (sizes if same else sizes[cut:])[None, :] - both)
+        if same:
+            np.fill_diagonal(good, False)
+        return good
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        names = ["node", "n"] if counts else ["a", "b"]
+
+        def found(i, j, part, node, w, text):
+            sets = [None] * len(node)
+            for k, grams in _sets(pa.array(text, pa.string())):
+                sets[k] = grams
+            same = i == j
+            cut = len(node) if same else int((part == i).sum())
+            if cut == 0 or (cut == len(node)) != same:
+                return
+            good = linked(sets, cut, same)
+            x, y = (node, node) if same else (node[:cut], node[cut:])
+            if counts:
+                out = [(x, good @ (w if same else w[cut:]))] + ([] if same else [(y, good.T @ w[:cut])])
+                out = [np.concatenate(c) for c in zip(*out, strict=True)]
+            else:
+                u, v = np.nonzero(np.triu(good) if same else good)
+                out = [np.minimum(x[u], y[v]), np.maximum(x[u], y[v])]
+            if len(out[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=names)
+
+        key, held = None, []
+        for b in batches:
+            comp, i, j, part, node, w = (c.to_numpy(zero_copy_only=False) for c in b.columns[:6])
+            text = b.column(6).to_pylist()
+            cuts = np.flatnonzero((comp[1:] != comp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for s, e in zip(np.append(0, cuts), np.append(cuts, len(comp)), strict=True):
+                if s == e:
+                    continue
+                now = (comp[s], i[s], j[s])
+                if held and now != key:
+                    yield from found(*key[1:], *(np.concatenate([h[k] for h in held]) for k in range(3)), [t for h in held for t in h[3]])
+                    held = []
+                key = now
+                held.append((part[s:e], node[s:e], w[s:e], text[s:e]))
+        if held:
+            yield from found(*key[1:], *(np.concatenate([h[k] for h in held]) for k in range(3)), [t for h in held for t in h[3]])
+
+    return blocks.mapInArrow(run, "node long, n long" if counts else "a long, b long")
+
+
+def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b of every two different sets that link, a below b; and the rows with their sets: doc_id, node, n_shingles. Rows of one node have equal sets and link too."""
+    rows, comp = _grouped(docs)
+    return _compared(_blocks(docs, rows, comp), False), rows.withColumnRenamed("n", "n_shingles")
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, n_links (the other rows of docs that it links with) of every row of docs."""
+    rows, comp = _grouped(docs)
+    others = _compared(_blocks(docs, rows, comp), True).groupBy("node").agg(F.sum("n").alias("others"))
+    own = rows.filter("node IS NOT NULL").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("own")).join(others, "node", "left")
+    to = own.select("node", (F.col("own") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return rows.join(to, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs with the smallest doc_id of each component; of rows that repeat it and its text, all. Without an id a row stays."""
     few = join(docs).filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()

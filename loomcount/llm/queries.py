@@ -44,6 +44,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_counts(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +63,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_line_dedup, op4_exact_dedup, op5_nearest_neighbours, op6_hilbert_sharding, op7_jaccard_join, op8_bpe, op9_mixing, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_quality_classifier, op3_line_dedup, op4_exact_dedup, op5_nearest_neighbours, op6_hilbert_sharding, op7_jaccard_join, op7_jaccard_links, op8_bpe, op9_mixing, op10_url_filter)}
 
 ORACLE_SQL = {
     "op4_exact_dedup": f"""
