@@ -106,11 +106,20 @@ def passive_aggressive_regression(t: Tables) -> DataFrame:
 
 
 def suppliers(t: Tables) -> tuple[DataFrame, DataFrame]:
-    edges = t.lineitem.groupBy((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 89).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    """Suppliers by their keys, parts by their keys below zero."""
+    edges = t.lineitem.groupBy(big("l_suppkey", "src"), big(-F.col("l_partkey"), "dst")).agg(F.count(F.lit(1)).alias("n"))
     ids = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return ids.select("node", (F.sin(F.col("node") * 1.7) / 2).alias("base"), F.when(F.col("node") % 3 == 0, F.when(F.col("node") % 2 == 0, 1).otherwise(-1)).alias("label")), edges
 
 
+def vector_links(t: Tables, rows: DataFrame) -> DataFrame:
+    """Links of five times a supplier's key with part keys, of those that both name vectors of rows."""
+    edges = t.lineitem.groupBy((F.col("l_suppkey") * 5).alias("src"), F.col("l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    for side in ("src", "dst"):
+        edges = edges.join(rows.select(F.col("vec_id").alias(side)), side, "left_semi")
+    return edges.select("src", "dst", "n")
+
+
 @query()
 def graph_regulariser(t: Tables) -> DataFrame:
     """M23"""
@@ -121,7 +130,7 @@ def graph_regulariser(t: Tables) -> DataFrame:
 def alternating_training(t: Tables) -> DataFrame:
     """A linear learner and the graph's scores in turns, twice"""
     rows = vectors(t).withColumn("member", F.lit(0).cast("bigint"))
-    edges = t.lineitem.groupBy((F.col("l_suppkey") * 5).alias("src"), (F.col("l_partkey") % 500).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    edges = written(vector_links(t, rows))
     for _ in range(2):
         w = le.passive_aggressive(rows, "member", "vec_id", {1: 0.5, -1: 2.0}, 0.1).select(F.col("averaged").alias("w"))
         base = rows.crossJoin(F.broadcast(w)).select(F.col("vec_id").alias("node"), F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("base"), F.signum("y").cast("int").alias("label"))  # one row

@@ -1,7 +1,8 @@
 """Queries and operators do the whole job: nothing is left out for being frequent, large or late."""
 
 from loomcount.operators import sketch
-from loomcount.plans import QUERIES
+from loomcount.plans import QUERIES, lm_queries, model_queries
+from loomcount.plans.registry import Tables
 
 
 def test_bloomier_keeps_frequent_words(spark, tmp_path):
@@ -19,3 +20,13 @@ def test_bloomier_reads_large_counts_and_rejects_unknown_keys(spark):
     assert {r["gram"]: r["cnt"] for r in sketch.bloomier_query(known.select("gram"), "gram", t, most).collect()} == want
     unknown = spark.createDataFrame([(f"u{i}",) for i in range(500)], "gram string")
     assert sketch.bloomier_query(unknown, "gram", t, most).filter("cnt IS NOT NULL").count() == 0
+
+
+def test_graphs_keep_suppliers_and_parts_apart(spark, tmp_path):
+    lines = [(1, 1), (98, 1), (98, 90), (1, 700), (1, 700), (2, 650)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nodes, edges = model_queries.suppliers(Tables(spark, str(tmp_path)))
+    assert {tuple(r) for r in edges.collect()} == {(1, -1, 1), (98, -1, 1), (98, -90, 1), (1, -700, 2), (2, -650, 1)}
+    assert {r["node"] for r in nodes.collect()} == {1, 2, 98, -1, -90, -700, -650}
+    vectors = spark.createDataFrame([(5,), (10,), (1,), (700,)], "vec_id long")
+    assert {tuple(r) for r in model_queries.vector_links(Tables(spark, str(tmp_path)), vectors).collect()} == {(5, 1, 1), (5, 700, 2)}
