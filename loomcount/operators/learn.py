@@ -115,8 +115,8 @@ def graph_regularised(nodes: DataFrame, edges: DataFrame, gamma: float, lam: flo
     """node, score. nodes: node, base (the classifier's score), label (null if unlabelled); edges: src, dst, n.
 
     Jacobi steps of score_i = (b_i y_i + lambda base_i + gamma sum_j w_ij score_j) / (b_i + lambda + gamma sum_j w_ij), where b_i is one
-    by the number of labels and w_ij = ln(1 + n_ij) + ln(1 + n_ji), a tenth of it where the base score of i is below that of j.
-    `written` cuts the lineage of each round."""
+    by the number of labels and w_ij = ln(1 + n_ij) + ln(1 + n_ji), a tenth of it where the base score of i is below that of j. Steps go on until no
+    score moves by `tolerance`; more than `rounds` steps are an error. `written` cuts the lineage of each round."""
     from loomcount.operators.graph import both_ways
 
     labels = nodes.agg(F.count("label").alias("l"))
@@ -132,8 +132,8 @@ def graph_regularised(nodes: DataFrame, edges: DataFrame, gamma: float, lam: flo
         moved = new.agg(F.max(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
         score = new.select("node", "score")
         if moved < tolerance:
-            break
-    return score
+            return score
+    raise ValueError(f"scores still move by {moved} after {rounds} rounds")
 
 
 # --- Bayesian combination of classifiers -------------------------------------------------------------------------------------

@@ -123,7 +123,7 @@ def vector_links(t: Tables, rows: DataFrame) -> DataFrame:
 @query()
 def graph_regulariser(t: Tables) -> DataFrame:
     """M23"""
-    return le.graph_regularised(*suppliers(t), gamma=0.1, lam=1.0, rounds=20, tolerance=1e-6, written=written)
+    return le.graph_regularised(*suppliers(t), gamma=0.1, lam=1.0, rounds=400, tolerance=1e-6, written=written)
 
 
 @query()
@@ -134,7 +134,7 @@ def alternating_training(t: Tables) -> DataFrame:
     for _ in range(2):
         w = le.passive_aggressive(rows, "member", "vec_id", {1: 0.5, -1: 2.0}, 0.1).select(F.col("averaged").alias("w"))
         base = rows.crossJoin(F.broadcast(w)).select(F.col("vec_id").alias("node"), F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("base"), F.signum("y").cast("int").alias("label"))  # one row
-        score = le.graph_regularised(base, edges, 0.1, 1.0, 5, 1e-6, written)
+        score = le.graph_regularised(base, edges, 0.1, 1.0, 400, 1e-6, written)
         rows = rows.select("vec_id", "x", "member").join(score.select(F.col("node").alias("vec_id"), F.col("score").alias("y")), "vec_id")
     return rows.select("vec_id", F.col("y").alias("score"))
 

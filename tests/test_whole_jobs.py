@@ -1,8 +1,12 @@
 """Queries and operators do the whole job: nothing is left out for being frequent, large or late."""
 
-from loomcount.operators import sketch
-from loomcount.plans import QUERIES, lm_queries, model_queries
+import numpy as np
+import pytest
+
+from loomcount.operators import learn, sketch
+from loomcount.plans import QUERIES, model_queries
 from loomcount.plans.registry import Tables
+from loomcount.sources.tables import written
 
 
 def test_bloomier_keeps_frequent_words(spark, tmp_path):
@@ -22,6 +26,28 @@ def test_bloomier_reads_large_counts_and_rejects_unknown_keys(spark):
     assert sketch.bloomier_query(unknown, "gram", t, most).filter("cnt IS NOT NULL").count() == 0
 
 
+def test_graph_regulariser_reaches_its_fixed_point(spark):
+    n = 12
+    nodes = [(k, 1.0 if k < 2 else -0.2 * (k % 3), 1 if k == 0 else None) for k in range(n)]
+    links = [(a, b, 4 + (a * b) % 5) for a in range(n) for b in range(n) if a != b and (a + b) % 3]
+    score = learn.graph_regularised(spark.createDataFrame(nodes, "node long, base double, label int"), spark.createDataFrame(links, "src long, dst long, n long"), 0.2, 1.0, 400, 1e-6, written)
+    got = {r["node"]: r["score"] for r in score.collect()}
+    base, count = {i: b for i, b, _ in nodes}, {(a, b): k for a, b, k in links}
+    a, top = np.zeros((n, n)), np.zeros(n)
+    for i, b, label in nodes:
+        own = 0 if label is None else 1.0
+        a[i, i], top[i] = own + 1.0, own * (label or 0) + b
+        for j in range(n):
+            if (i, j) in count:
+                w = 0.2 * (np.log1p(count[i, j]) + np.log1p(count.get((j, i), 0))) * (0.1 if base[i] < base[j] else 1)
+                a[i, i] += w
+                a[i, j] -= w
+    want = np.linalg.solve(a, top)
+    assert max(abs(got[k] - want[k]) for k in range(n)) < 1e-5
+    with pytest.raises(ValueError):
+        learn.graph_regularised(spark.createDataFrame(nodes, "node long, base double, label int"), spark.createDataFrame(links, "src long, dst long, n long"), 0.2, 1.0, 2, 1e-6, written)
+
+
 def test_graphs_keep_suppliers_and_parts_apart(spark, tmp_path):
     lines = [(1, 1), (98, 1), (98, 90), (1, 700), (1, 700), (2, 650)]
     spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
