@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from loomcount.operators import learn, sketch
-from loomcount.plans import QUERIES, model_queries
+from loomcount.plans import QUERIES, lm_queries, model_queries
 from loomcount.plans.registry import Tables
 from loomcount.sources.tables import written
 
@@ -26,6 +26,13 @@ def test_bloomier_reads_large_counts_and_rejects_unknown_keys(spark):
     assert sketch.bloomier_query(unknown, "gram", t, most).filter("cnt IS NOT NULL").count() == 0
 
 
+def test_quantised_counts_reach_the_largest_code(spark, monkeypatch):
+    counts = spark.createDataFrame([(1, "a", 1), (1, "b", (1 << 24) + 9), (1, "c", 1 << 27), (2, "a b", (1 << 30) - 1), (1, "d", 1 << 30)], "ord long, gram string, cnt long")
+    monkeypatch.setattr(lm_queries, "english", lambda t: counts)
+    got = {r["cnt"]: r["value"] for r in QUERIES["quantised_counts"](spark, "").collect()}
+    assert got == {1: 1, (1 << 24) + 9: 1 << 24, 1 << 27: 1 << 27, (1 << 30) - 1: int(2 ** (89 / 3)), 1 << 30: 1 << 30}
+
+
 def test_graph_regulariser_reaches_its_fixed_point(spark):
     n = 12
     nodes = [(k, 1.0 if k < 2 else -0.2 * (k % 3), 1 if k == 0 else None) for k in range(n)]
