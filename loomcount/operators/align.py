@@ -204,7 +204,7 @@ def itg_inside(s: list[str], t: list[str], table: dict, null: float = 1e-4):
 
 
 def itg_alignments(pairs: DataFrame, table: dict, most: int = 6) -> DataFrame:
-    """sid, lp, links (i-j joined by spaces) of pairs (sid, src, trg) with at most `most` words a side, the model's own limit; the others have null."""
+    """sid, lp, links (i-j joined by spaces) of pairs (sid, src, trg) with at most `most` words a side (the reference takes 9); the others have null."""
     import pandas as pd
 
     def run(batches):

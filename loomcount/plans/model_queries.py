@@ -196,7 +196,7 @@ def hmm_training(t: Tables) -> DataFrame:
 
 @query()
 def itg_alignment(t: Tables) -> DataFrame:
-    """Inside probabilities and best links of short pairs"""
+    """M03 in part: inside probabilities and best links of short pairs under an empty word table, without EM"""
     p = turn_pairs(t).select(F.concat_ws(":", "conv_id", "turn").alias("sid"), tx.tokens(F.col("src")).alias("src"), tx.tokens(F.col("trg")).alias("trg"))
     return al.itg_alignments(p, {})
 
