@@ -45,6 +45,14 @@ def drop_written(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """`name`, or with underscores before it, such that no column of the tables is called so in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else. Pure ASCII text takes the faster built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -1,34 +1,37 @@
 """N-gram Jaccard join with set-relation skipping.
 
 A document's set are the hashes (64 bits) of its distinct SIZE-word shingles. Two sets link when 100 * |A and B| >= 80 * |A or B|. Documents
-with equal sets are one node. Nodes are indexed by the prefix of their set: with the rarest shingles first, two linked sets share
-l of their first n - ceil(0.8 n) + l shingles; l is 1 + n / 20, so that a passage in common makes no pair. Rareness comes from a table of 2^SKETCH_BITS counts over all documents; it
-orders the shingles and decides nothing else.
+with equal sets are one node. Nodes are indexed by the prefix of their set: with the rarest shingles first, two linked sets of sizes n and m
+need o = ceil(4 (n + m) / 9) shingles in common, so their first common one stands at most at n - o in one and m - o in the other. Rareness
+comes from a table of 2^SKETCH_BITS counts over all documents; it orders the shingles and decides nothing else.
 
-Index lists hold (node, set size, position) and are skipped by position and by relation:
+Index lists hold (node, set size, position), a hot one in salted parts, and are skipped by position and by relation:
 
-1. In each list (a hot one in salted parts) nodes of like size point to the first of them, their leader; leaders of a
-   list point to the first leader. A node is compared with the leaders that it meets most often, and links found join components.
-2. A set takes over the answer of its leader: what lies in one component is compared no more, and lists that hold a single
-   component are dropped. Some rounds follow in which a node tries members of the largest other component of its lists, which
-   joins components with one link each. In the lists that are left, sorted in blocks of sizes and by position inside a block, a node meets only blocks of sizes that
-   can link, and of these only the positions after which enough shingles are left to reach the needed overlap; pairs of one component are
-   left out. All remaining pairs that meet l times are verified, so that no component loses a link.
+1. A row that is too far back to reach the overlap with any size near its own in its list goes; so do lists of a single row.
+2. In each class of sizes of a list the row with the smallest position leads: the fewer rare shingles of its own a set has, the nearer it is to
+   what its copies have in common. Rows point to the leaders of their class and the neighbouring ones in another component; each set is compared with
+   the LEADERS leaders that it meets most often, and links join components. A set takes over the answer of the leader that it links
+   with: what lies in one component is compared no more. This is done ROUNDS times, with the components of the time before.
+3. Of lists that still hold several components, sorted in blocks of sizes and by position inside a block, a node meets only blocks of sizes that can
+   link, and of these only the positions from which the overlap can be reached; pairs of one component are left out. A set that does not link with
+   its leader has more rare shingles of its own than the bound allows, so few pairs are left in a group of copies. All of them are verified: no component loses a link.
 
 `join` gives the components and leaves links inside a component untried. `links` and `link_counts` give all links: a link never leaves a component,
 so the different sets of each component are dealt into blocks of BLOCK and every two sets of a component are compared exactly, block by block.
 
-Verification reads texts again for the nodes that are in some pair (a bit table of fixed size picks them out) and intersects whole sets.
+Verification intersects whole sets, made anew from the texts of the nodes in lists, which are written once (a bit table, sized by the number of these nodes
+up to 2^NODE_BITS, picks them out; what passes by chance goes in the join). A leader of many nodes is copied once for each HOT of its pairs.
 Components are found by alternating large and small stars on tables in the shared folder. Lists of more than LIST nodes are dealt
 as pairs of parts, so that no task holds more than two parts.
 
 Defined results: words are separated by space and the characters 09-0D, A-Z count as a-z; fewer than SIZE words make one shingle of
-all of them; a null, empty or blank text has the empty set and links with nothing; null doc_ids take part but never name a component that
-has an id; rows that repeat a doc_id or text are linked; an empty table gives an empty result; other columns are not read.
+all of them; a null, empty or blank text has the empty set and links with nothing; texts of any length are read whole; null doc_ids take part but never name a component that
+has an id; rows that repeat a doc_id or text are linked; an empty table gives an empty result; other columns are not read, and `keep_one` keeps them whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -36,9 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomcount.llm.common import drop_written, written
+from loomcount.llm.common import drop_written, new_path, unused, written
 
-SIZE, SKETCH_BITS, SLICES, NODE_BITS, LIST, SALT_AT, LEADERS, ROUNDS, BLOCK = 5, 22, 64, 23, 32_768, 50_000, 2, 2, 128
+SIZE, SKETCH_BITS, SLICES, NODE_BITS, LIST, SALT_AT, LEADERS, ROUNDS, BLOCK, HOT = 5, 22, 64, 27, 32_768, 50_000, 2, 2, 128, 4_096
 
 
 def _sets(column):
@@ -71,24 +74,28 @@ def _node(grams) -> int:
     return int(ng.mix(np.array([ng.mix(grams).sum() + np.uint64(len(grams))], dtype=np.uint64)).view(np.int64)[0])
 
 
-def _least(n):
-    """How many prefix shingles two linked sets share at least, by their smaller size."""
-    return 1 + n // 20
+def _fits(n_x, pos_x, n_y, pos_y):
+    """Whether sets of these sizes can link if their first common shingle stands at these positions."""
+    import numpy as np
+
+    need = -(-4 * (n_x + n_y) // 9)
+    return (np.minimum(n_x, n_y) * 5 >= np.maximum(n_x, n_y) * 4) & (pos_x <= n_x - need) & (pos_y <= n_y - need)
 
 
 def _texts(docs: DataFrame, *cols: str) -> DataFrame:
-    return docs.select(*[F.col(c).cast("long").alias(c) for c in cols], F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(*[F.xxhash64(text).alias("h") if c == "h" else F.col(c).cast("long").alias(c) for c in cols], text.alias("text"))
 
 
 def _first_pass(docs: DataFrame) -> DataFrame:
-    """doc_id, node, n of each document (kind 0) and the task's shingle counts by slices (kind 1)."""
+    """doc_id, h (hash of the text), node, n of each document (kind 0) and the task's shingle counts by slices (kind 1)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        names = ["kind", "doc_id", "node", "n", "slice", "counts"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["kind", "doc_id", "h", "node", "n", "slice", "counts"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         total = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
 
         def add(some):
@@ -98,7 +105,7 @@ def _first_pass(docs: DataFrame) -> DataFrame:
         for b in batches:
             node, n = [None] * b.num_rows, np.zeros(b.num_rows, dtype=np.int64)
             some, held = [], 0
-            for i, grams in _sets(b.column(1)):
+            for i, grams in _sets(b.column(2)):
                 node[i], n[i] = _node(grams), len(grams)
                 some.append(grams)
                 held += len(grams)
@@ -108,14 +115,14 @@ def _first_pass(docs: DataFrame) -> DataFrame:
             if some:
                 add(some)
             m = b.num_rows
-            cols = [np.zeros(m, dtype=np.int32), b.column(0), node, n, [None] * m, [None] * m]
+            cols = [np.zeros(m, dtype=np.int32), b.column(0), b.column(1), node, n, [None] * m, [None] * m]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
         if total.any():
             parts = np.split(total, SLICES)
-            cols = [[1] * SLICES, [None] * SLICES, [None] * SLICES, [None] * SLICES, list(range(SLICES)), [zlib.compress(np.ascontiguousarray(p.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for p in parts]]
+            cols = [[1] * SLICES, *[[None] * SLICES] * 4, list(range(SLICES)), [zlib.compress(np.ascontiguousarray(p.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1) for p in parts]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    return _texts(docs, "doc_id").mapInArrow(run, "kind int, doc_id long, node long, n long, slice int, counts binary")
+    return _texts(docs, "doc_id", "h").mapInArrow(run, "kind int, doc_id long, h long, node long, n long, slice int, counts binary")
 
 
 def _levels(first: DataFrame):
@@ -143,7 +150,7 @@ def _levels(first: DataFrame):
 
 
 def _postings(docs: DataFrame, levels) -> DataFrame:
-    """token, salt, node, n, pos of the prefixes; a task names each of its nodes once."""
+    """token, salt (0 for a list in one part), node, n, pos of the prefixes; a task names each of its nodes once."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator) -> Iterator:
@@ -163,11 +170,12 @@ def _postings(docs: DataFrame, levels) -> DataFrame:
                 if node in seen:
                     continue
                 seen.add(node)
-                p = min(n, n - -(-4 * n // 5) + _least(n))
+                p = n - -(-4 * n // 5) + 1
                 common = level[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                 best = np.lexsort((grams, common))[:p]
                 parts = np.maximum(1, (2.0 ** (common[best] / 4) / SALT_AT).astype(np.int64))
-                out.append((grams[best].view(np.int64), ((node & 0x7FFFFFFF) % parts).astype(np.int32), np.full(p, node), np.full(p, n, dtype=np.int32), np.arange(p, dtype=np.int32)))
+                salt = np.where(parts > 1, 1 + (node & 0x7FFFFFFF) % parts, 0).astype(np.int32)
+                out.append((grams[best].view(np.int64), salt, np.full(p, node), np.full(p, n, dtype=np.int32), np.arange(p, dtype=np.int32)))
                 rows += p
                 if rows > 50_000:
                     yield made(out)
@@ -178,73 +186,118 @@ def _postings(docs: DataFrame, levels) -> DataFrame:
     return _texts(docs).mapInArrow(run, "token long, salt int, node long, n int, pos int")
 
 
-def _shared(postings: DataFrame) -> DataFrame:
-    """The postings of lists with more than one row, each with its leader: the first node of like size in its part of the list. Streams sorted rows."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+def _whole_lists(batches: Iterator, keys: int) -> Iterator:
+    """The columns of sorted batches as NumPy arrays, cut so that rows with the same first `keys` columns stay together."""
+    import numpy as np
 
-        names = ["token", "salt", "node", "n", "pos", "leader"]
-        held, lead = None, None  # the last row is held until it's known whether its list goes on
+    held = None
+    for b in batches:
+        x = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+        if not len(x[0]):
+            continue
+        if held is not None:
+            x = [np.concatenate([h, c]) for h, c in zip(held, x, strict=True)]
+        other = np.flatnonzero(np.logical_or.reduce([c != c[-1] for c in x[:keys]]))
+        stop = other[-1] + 1 if len(other) else 0
+        if stop:
+            yield [c[:stop] for c in x]
+        held = [c[stop:] for c in x]
+    if held is not None:
+        yield held
+
+
+def _leaders(batches: Iterator, first: bool) -> Iterator:
+    """Candidates from lists (token, salt, kind, pos, node, n, comp) sorted by token, salt, kind, pos, node: each row with the first rows of its class of sizes and of the
+    neighbouring classes that lie in another component. In the first round the rows worth keeping come out too, with null for `leader`."""
+    import numpy as np
+    import pyarrow as pa
 
-        def emit(x, keep, leader):
-            x = [c[keep] for c in x]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*x, leader[keep])], names=names)
+    names = ["token", "salt", "node", "n", "pos", "leader"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
+    for token, salt, kind, pos, node, n, comp in _whole_lists(batches, 2):
+        if first:
+            again = np.zeros(len(token), dtype=bool)
+            again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1])  # copies that other tasks named too
+            token, salt, kind, pos, node, n, comp = (c[~again] for c in (token, salt, kind, pos, node, n, comp))
 
-        for b in batches:
-            x = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if not len(x[0]):
-                continue
-            if held is not None:
-                x = [np.concatenate([h, c]) for h, c in zip(held[0], x, strict=True)]
-            again = np.zeros(len(x[0]), dtype=bool)
-            again[1:] = (x[0][1:] == x[0][:-1]) & (x[2][1:] == x[2][:-1])  # copies that other tasks named too
-            x = [c[~again] for c in x]
-            token, salt, node, n = x[:4]
-            kind = np.floor(np.log(n) / np.log(1.25)).astype(np.int64)
+        def cut():
             new = np.ones(len(token), dtype=bool)
-            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]) | (kind[1:] != kind[:-1])
-            leader = node[np.maximum.accumulate(np.where(new, np.arange(len(node)), 0))]
-            if held is not None:
-                same = ~np.logical_or.accumulate(np.concatenate([[False], new[1:]]))
-                leader = np.where(same, lead, leader)
-            with_next = np.zeros(len(token), dtype=bool)
-            with_next[:-1] = token[1:] == token[:-1]
-            many = with_next | np.concatenate([[held is not None and held[1]], with_next[:-1]])
-            many |= salt > 0
-            yield emit([c[:-1] for c in x], many[:-1], leader[:-1])
-            held, lead = ([c[-1:] for c in x], bool(len(token) > 1 and with_next[-2]) or (len(token) == 1 and held is not None and held[1])), leader[-1]
-        if held is not None and (held[1] or held[0][1][0] > 0):
-            yield emit(held[0], np.array([True]), np.array([lead]))
-
-    dealt = postings.repartition("token").sortWithinPartitions("token", "salt", "n", "node")
-    return dealt.mapInArrow(run, "token long, salt int, node long, n int, pos int, leader long")
+            new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
+            run = new.copy()
+            run[1:] |= kind[1:] != kind[:-1]
+            return np.flatnonzero(run), np.cumsum(run) - 1, np.cumsum(new) - 1
+
+        start, run, list_of = cut()
+        if first:
+            # what is too far back for every size in its own and the neighbouring classes goes
+            low = np.minimum.reduceat(n, start)
+            best = low.copy()
+            beside = (list_of[start[1:]] == list_of[start[:-1]]) & (kind[start[1:]] - kind[start[:-1]] == 1)
+            best[1:][beside] = np.minimum(best[1:], low[:-1])[beside]
+            size = np.maximum(best[run], -(-4 * n // 5))
+            keep = (salt > 0) | (pos <= n - -(-4 * (n + size) // 9))
+            for _ in range(2):
+                many = np.bincount(list_of[keep], minlength=list_of[-1] + 1)
+                keep &= (salt > 0) | (many[list_of] > 1)
+                if not keep.any():
+                    break
+                # of short lists, rows that no other row of the list can link with go as well
+                few = (many[list_of] <= 4) & keep & (salt == 0)
+                at = np.flatnonzero(few)
+                good = np.zeros(len(at), dtype=bool)
+                for d in (1, 2, 3):
+                    x, y = at[:-d], at[d:]
+                    ok = (list_of[x] == list_of[y]) & _fits(n[x], pos[x], n[y], pos[y])
+                    good[:-d] |= ok
+                    good[d:] |= ok
+                keep[at[~good]] = False
+            if not keep.any():
+                continue
+            token, salt, kind, pos, node, n, comp = (c[keep] for c in (token, salt, kind, pos, node, n, comp))
+            start, run, list_of = cut()
+            nothing = pa.nulls(len(token), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip((token, salt, node, n, pos), types, strict=False)), nothing], names=names)
+        index = np.arange(len(token))
+        differs = np.where(comp != comp[start[run]], index, len(token))
+        two = np.minimum.reduceat(differs, start)  # the first row of another component than the first one's
+        for step in (0, -1, 1):
+            to = np.arange(len(start)) + step
+            there = (to >= 0) & (to < len(start))
+            to = np.where(there, to, 0)
+            there &= (list_of[start[to]] == list_of[start]) & (kind[start[to]] - kind[start] == step)
+            a, b = start[to][run], two[to][run]
+            y = np.where(comp[a] != comp, a, b)
+            ok = there[run] & (y < len(token))
+            y = np.where(ok, y, 0)
+            ok &= (comp[y] != comp) & _fits(n, pos, n[y], pos[y])
+            if ok.any():
+                none = [pa.nulls(int(ok.sum()), t) for t in types]
+                none[2], none[5] = pa.array(node[ok], pa.int64()), pa.array(node[y[ok]], pa.int64())
+                yield pa.RecordBatch.from_arrays(none, names=names)
+
+
+def _dealt(rows: DataFrame, first: bool) -> DataFrame:
+    """Candidates (node, leader) of rows (token, salt, node, n, pos, comp) and, in the first round, the kept rows, whose leader is null."""
+    kind = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int")
+    cols = ["token", "salt", "kind", "pos", "node", "n", "comp"]
+    dealt = rows.repartition("token", "salt").withColumn("kind", kind).select(*cols).sortWithinPartitions(*cols[:5])
+    return dealt.mapInArrow(lambda b: _leaders(b, first), "token long, salt int, node long, n int, pos int, leader long")
 
 
 def _cross(lists: DataFrame) -> DataFrame:
     """Pairs a, b of different components that one of the lists (token, i, j; sorted) lets link."""
 
-    def fits(n_x, pos_x, n_y, pos_y):
-        """Whether both places count for the pair, and how many such places it needs."""
-        import numpy as np
-
-        least = _least(np.minimum(n_x, n_y))
-        room = least - 1 - -(-4 * (n_x + n_y) // 9)
-        return (np.minimum(n_x, n_y) * 5 >= np.maximum(n_x, n_y) * 4) & (pos_x <= n_x + room) & (pos_y <= n_y + room), np.asarray(least, dtype=np.int64)
-
     def pairs(node, n, pos, comp, part, i, j):
         import numpy as np
 
         if len(node) <= 64:
             x, y = np.triu_indices(len(node), 1)
-            x, y = x[comp[x] != comp[y]], y[comp[x] != comp[y]]
+            good = (comp[x] != comp[y]) & _fits(n[x], pos[x], n[y], pos[y])
             if i != j:
-                x, y = x[part[x] != part[y]], y[part[x] != part[y]]
-            good, least = fits(n[x], pos[x], n[y], pos[y])
+                good &= part[x] != part[y]
             x, y = node[x[good]], node[y[good]]
             if len(x):
-                yield np.minimum(x, y), np.maximum(x, y), least[good]
+                yield np.minimum(x, y), np.maximum(x, y)
             return
         block = np.floor(np.log(n) / np.log(1.05)).astype(np.int64)
         order = np.lexsort((pos, block))
@@ -253,119 +306,124 @@ def _cross(lists: DataFrame) -> DataFrame:
         ends = np.append(starts[1:], len(block))
         low = np.array([n[s:e].min() for s, e in zip(starts, ends, strict=True)])
         high = np.array([n[s:e].max() for s, e in zip(starts, ends, strict=True)])
-        for x in range(len(node)):
-            # blocks of smaller or like sizes, and of these the places up to the last that can count
-            for k in np.flatnonzero((high * 5 >= n[x] * 4) & (low <= n[x])):
+        names, of, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+        small = of != sizes.argmax()  # every pair has a member outside the largest component
+        for x in np.flatnonzero(small):
+            # blocks of sizes that can link, and of these the places up to the last that can count
+            for k in np.flatnonzero((high * 5 >= n[x] * 4) & (low * 4 <= n[x] * 5)):
                 s, e = starts[k], ends[k]
-                room = int(_least(high[k])) - 1 - -(-4 * (int(n[x]) + int(low[k])) // 9)
-                if pos[x] > n[x] + room:
+                room = -(-4 * (int(n[x]) + int(low[k])) // 9)
+                if pos[x] > n[x] - room:
                     continue
-                y = np.arange(s, s + np.searchsorted(pos[s:e], high[k] + room, side="right"))
-                y = y[(comp[y] != comp[x]) & ((n[y] < n[x]) | ((n[y] == n[x]) & (node[y] < node[x])))]
+                y = np.arange(s, s + np.searchsorted(pos[s:e], high[k] - room, side="right"))
+                y = y[(comp[y] != comp[x]) & (~small[y] | (y < x))]
                 if i != j:
                     y = y[part[y] != part[x]]
-                good, least = fits(n[x], pos[x], n[y], pos[y])
-                y = y[good]
+                y = y[_fits(n[x], pos[x], n[y], pos[y])]
                 if len(y):
-                    yield np.minimum(node[y], node[x]), np.maximum(node[y], node[x]), least[good]
+                    yield np.minimum(node[y], node[x]), np.maximum(node[y], node[x])
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        def found(x):
+        def made(out):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+        for x in _whole_lists(batches, 3):
             token, i, j = x[:3]
             cut = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            out = []
+            out, held = [], 0
             for s, e in zip(np.append(0, cut), np.append(cut, len(token)), strict=True):
-                if e - s > 1:
-                    out += pairs(*(c[s:e] for c in x[3:]), i[s], j[s])
-                if sum(len(o[0]) for o in out) > 50_000 or (out and e == len(token)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "least"])
-                    out = []
-
-        held = None
-        for b in batches:
-            x = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            if not len(x[0]):
-                continue
-            if held is not None:
-                x = [np.concatenate([h, c]) for h, c in zip(held, x, strict=True)]
-            last = np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1]) | (x[2] != x[2][-1]))
-            stop = last[-1] + 1 if len(last) else 0
-            if stop:
-                yield from found([c[:stop] for c in x])
-            held = [c[stop:] for c in x]
-        if held is not None:
-            yield from found(held)
+                for some in pairs(*(c[s:e] for c in x[3:]), i[s], j[s]) if e - s > 1 else ():
+                    out.append(some)
+                    held += len(some[0])
+                    if held > 50_000:
+                        yield made(out)
+                        out, held = [], 0
+            if out:
+                yield made(out)
 
     cols = ["token", "i", "j", "node", "n", "pos", "comp", "part"]
-    return lists.select(*cols).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long, least long").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.first("least").alias("least")).filter("met >= least").select("a", "b")
+    return lists.select(*cols).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _node_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, text of the nodes in pairs, one row a node. Rows are picked by a table of 2^NODE_BITS bits; what passes by chance goes in the join."""
+def _node_texts(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """node, h of the given nodes, h being the hash of one text of the node; h, text, bucketed by h; and the name of this table. Rows are picked by a table of bits; what passes by chance meets no node."""
     import numpy as np
 
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    slot = F.pmod(F.col("node"), F.lit(1 << NODE_BITS))
-    bits = nodes.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
-    flags = np.zeros(1 << NODE_BITS, dtype=bool)
+    spark = docs.sparkSession
+    reps = written(rows.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.min("h").alias("h")), "jaccard-nodes")
+    width = min(1 << NODE_BITS, 1 << max(16, (8 * reps.count()).bit_length()))
+    slot = F.pmod(F.col("h"), F.lit(width))
+    bits = reps.groupBy(F.bitmap_bucket_number(slot + 1).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
+    flags = np.zeros(width, dtype=bool)
     for r in bits.collect():  # 2^NODE_BITS bits at most
         one = np.unpackbits(np.frombuffer(bytes(r["bits"]), dtype=np.uint8), bitorder="little").astype(bool)
         at = (r["bucket"] - 1) * len(one)
-        flags[at : at + len(one)] = one
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
+        flags[at : at + len(one)] = one[: max(0, width - at)]
+    sent = spark.sparkContext.broadcast(np.packbits(flags, bitorder="little"))
 
     def pick(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        wanted, seen = np.unpackbits(sent.value).astype(bool), set()
+        wanted, seen = sent.value, set()
         for b in batches:
-            node, row = [], []
-            for i, grams in _sets(b.column(0)):
-                x = _node(grams)
-                if wanted[x % (1 << NODE_BITS)] and x not in seen:
-                    seen.add(x)
-                    node.append(x)
-                    row.append(i)
-            if row:
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), b.column(0).take(pa.array(row))], names=["node", "text"])
-
-    got = _texts(docs).mapInArrow(pick, "node long, text string")
-    return got.groupBy("node").agg(F.first("text").alias("text"))
-
-
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets link."""
-    texts = written(_node_texts(docs, pairs), "jaccard-texts")
-    right = pairs.join(texts.withColumnRenamed("node", "b").withColumnRenamed("text", "text_b"), "b")
-    both = right.join(texts.withColumnRenamed("node", "a").withColumnRenamed("text", "text_a"), "a").select("a", "b", "text_a", "text_b")
+            x = b.column(0).to_numpy(zero_copy_only=False)
+            at = x & (width - 1)  # width is a power of two
+            some = np.flatnonzero((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            new = []
+            for k, h in zip(some.tolist(), x[some].tolist(), strict=True):
+                if h not in seen:
+                    seen.add(h)
+                    new.append(k)
+            if new:
+                yield b.take(pa.array(new, pa.int64()))
+
+    got = _texts(docs, "h").mapInArrow(pick, "h long, text string")
+    name, buckets = f"jaccard_texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = got.repartition(buckets, "h").groupBy("h").agg(F.first("text").alias("text"))
+    one.write.format("parquet").bucketBy(buckets, "h").sortBy("h").option("path", new_path(spark, "jaccard-texts")).saveAsTable(name)
+    return reps, spark.table(name), name
+
+
+def _drop_texts(texts: tuple[DataFrame, DataFrame, str]) -> None:
+    reps, table, name = texts
+    drop_written(reps)
+    drop_written(table)
+    table.sparkSession.sql(f"DROP TABLE {name}")
+
+
+def _verified(texts: tuple[DataFrame, DataFrame, str], pairs: DataFrame) -> DataFrame:
+    """Of pairs node, leader those whose sets link, as a, b. A text goes to the leader's, which is copied once for each HOT of its pairs; the table of texts itself is read in its buckets."""
+    reps, table, _ = texts
+    parts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts"))
+    heads = parts.join(reps.withColumnRenamed("node", "leader"), "leader").join(table.hint("merge"), "h")
+    heads = heads.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.col("text").alias("text_a"))
+    left = pairs.join(parts, "leader").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    left = left.join(reps, "node").join(table.hint("merge"), "h").select("leader", "salt", "node", F.col("text").alias("text_b"))
+    both = left.join(heads.hint("merge"), ["leader", "salt"]).select("leader", "node", "text_a", "text_b")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        last, kept = None, None
         for b in batches:
             left = b.column(0).to_pylist()
             new = [k for k, x in enumerate(left) if k == 0 or x != left[k - 1]]
             sets_a = dict(_sets(b.column(2).take(pa.array(new, pa.int64()))))
-            sets_b = dict(_sets(b.column(3)))
-            good, at = [], -1
-            for k, x in enumerate(left):
-                if k == 0 or x != left[k - 1]:
+            good, at = np.zeros(len(left), dtype=bool), -1
+            for k, other in _sets(b.column(3)):
+                while at + 1 < len(new) and new[at + 1] <= k:
                     at += 1
-                last, kept = x, sets_a[at]
-                other = sets_b[k]
+                kept = sets_a[at]
                 at_other = np.searchsorted(kept, other)
                 at_other[at_other == len(kept)] = 0
                 both = int((kept[at_other] == other).sum())
-                good.append(100 * both >= 80 * (len(kept) + len(other) - both))
-            mask = pa.array(good, pa.bool_())
+                good[k] = 100 * both >= 80 * (len(kept) + len(other) - both)
+            mask = pa.array(good)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
-        del last
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -390,61 +448,64 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(now.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id, node, n of every row of docs; node, comp of the nodes that link with another."""
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame, str]]:
+    """doc_id, h, node, n of every row of docs; node, comp of the nodes that link with another; the texts of these and more nodes as from _node_texts."""
     first = written(_first_pass(docs), "jaccard-docs")
-    shared = written(_shared(_postings(docs, _levels(first))), "jaccard-lists")
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-
-    met = shared.filter("node <> leader").groupBy("node", "leader").count()
-    heads = shared.filter("node = leader").select("token", "n", "node").distinct()
-    top = heads.withColumn("leader", F.first("node").over(W.partitionBy("token").orderBy("n", "node"))).filter("node <> leader").groupBy("node", "leader").count()
-    met = met.unionByName(top).groupBy("node", "leader").agg(F.sum("count").alias("n"))
-    sizes = shared.groupBy("node").agg(F.first("n").alias("size"))
-    met = met.join(sizes, "node").filter("n >= 1 + size div 60")  # what meets less often is left to the lists below
-    best = met.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "leader"))).filter(F.col("k") <= LEADERS)
-    tried = written(best.select(*pair("node", "leader")).distinct(), "jaccard-tried")
-    links = written(_verified(docs, tried), "jaccard-links")
-    comp = written(components(links), "jaccard-components")
-
-    def mixed(rows: DataFrame, name: str) -> DataFrame:
-        """The lists of rows that hold more than one component, with comp anew. Nodes that stand in fewer such lists than any pair of theirs needs go."""
-        known = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        some = known.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("size")).filter("x <> y").select("token", "size")
-        lists = written(known.join(some, "token"), name)
-        enough = lists.groupBy("node").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n")).filter("lists >= 1 + (4 * n div 5) div 20").select("node")
-        return written(lists.join(enough, "node"), f"{name}-kept")
-
-    left = mixed(shared.select("token", "node", "n", "pos"), "jaccard-left")
+    rows = first.filter("kind = 0").select("doc_id", "h", "node", "n")
+    dealt = written(_dealt(_postings(docs, _levels(first)).withColumn("comp", F.col("node")), True), "jaccard-lists")
+    lists = dealt.filter("leader IS NULL").drop("leader")
+    texts = _node_texts(docs, rows, lists.select("node"))
+    met, spent = dealt.filter("leader IS NOT NULL").select("node", "leader"), [dealt]
+    tried = links = comp = docs.sparkSession.createDataFrame([], "a long, b long")
+    comp = comp.toDF("node", "comp")
+
+    def with_comp(some: DataFrame) -> DataFrame:
+        return some.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    def add(more: DataFrame) -> bool:
+        """Verifies the pairs node, leader that are new; whether some of them link."""
+        nonlocal tried, links, comp
+        a, b = F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
+        new = more.groupBy(a, b).agg(F.min("leader").alias("leader")).join(tried, ["a", "b"], "left_anti")
+        new = written(new.select("a", "b", "leader", F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")), "jaccard-tried")
+        spent.append(new)
+        if new.isEmpty():
+            return False
+        found = written(_verified(texts, new.select("node", "leader")), "jaccard-links")
+        spent.append(found)
+        tried, links = tried.union(new.select("a", "b")), links.union(found)
+        if found.isEmpty():
+            return False
+        comp = written(components(links), "jaccard-components")
+        return True
+
+    by_node = W.partitionBy("node").orderBy(F.desc("times"), "leader")
     for k in range(ROUNDS):
-        # in each list a member of its largest component and one of the next
-        heads = left.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node", "n")).alias("head"))
-        top = heads.withColumn("k", F.row_number().over(W.partitionBy("token").orderBy(F.desc("size"), "comp"))).filter("k <= 2")
-        top = top.groupBy("token").agg(F.min_by(F.struct("comp", "head.node", "head.n"), "k").alias("one"), F.max_by(F.struct("comp", "head.node", "head.n"), "k").alias("two"))
-        met = left.select("token", "node", "n", "comp").join(top, "token").withColumn("to", F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one")))
-        met = met.filter("least(n, to.n) * 5 >= greatest(n, to.n) * 4").groupBy("node", F.col("to.node").alias("leader")).agg(F.count(F.lit(1)).alias("n"))
-        best = met.withColumn("k", F.row_number().over(W.partitionBy("node").orderBy(F.desc("n"), "leader"))).filter(F.col("k") <= LEADERS)
-        more = written(best.select(*pair("node", "leader")).distinct().join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-        found = written(_verified(docs, more), "jaccard-links") if more.limit(1).count() else more
-        tried = tried.union(more)
-        if not found.limit(1).count():
+        if k:
+            met = _dealt(with_comp(lists), False).select("node", "leader")
+        times = met.groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
+        if not add(times.withColumn("k", F.row_number().over(by_node)).filter(F.col("k") <= LEADERS).select("node", "leader")):
             break
-        links = links.union(found)
-        comp = written(components(links), "jaccard-components")
-        left = mixed(left.select("token", "node", "n", "pos"), "jaccard-left")
 
-    parts = left.withColumn("parts", F.ceil(F.col("size") / LIST).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # lists of several components; of these the rows that can link with a size near their own in the whole list
+    known = with_comp(lists).withColumn("kind", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    kinds = known.groupBy("token", "kind").agg(F.min("n").alias("low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    kinds = kinds.groupBy("token").agg(F.collect_list(F.struct("kind", "low")).alias("kinds"), F.min("x").alias("x"), F.max("y").alias("y")).filter("x <> y").drop("x", "y")
+    near = F.expr("exists(kinds, k -> abs(k.kind - kind) <= 1 AND 9 * pos <= 5 * n - 4 * greatest(k.low, cast(ceil(0.8 * n) AS int)))")
+    left = written(known.join(kinds, "token").filter(near).select("token", "node", "n", "pos", "comp"), "jaccard-left")
+    mixed = left.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts")).filter("x <> y").select("token", "parts")
+    parts = left.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     parts = parts.withColumn("k", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("i", F.least("k", "part")).withColumn("j", F.greatest("k", "part"))
-    more = written(_cross(parts).join(tried, ["a", "b"], "left_anti"), "jaccard-more")
-    if more.limit(1).count():
-        comp = written(components(links.union(_verified(docs, more))), "jaccard-components")
-
-    return first.filter("kind = 0").select("doc_id", "node", "n"), comp
+    add(_cross(parts).select(F.col("a").alias("node"), F.col("b").alias("leader")))
+    for x in (*spent, left):
+        drop_written(x)
+    return rows, comp, texts
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    rows, comp = _grouped(docs)
+    rows, comp, texts = _grouped(docs)
+    _drop_texts(texts)
     low = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
     named = low.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     ids = named.groupBy("comp").agg(F.min("low").alias("component_id"))
@@ -452,13 +513,12 @@ def join(docs: DataFrame) -> DataFrame:
     return rows.join(to, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _blocks(docs: DataFrame, rows: DataFrame, comp: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, comp: DataFrame, texts: tuple[DataFrame, DataFrame, str]) -> DataFrame:
     """comp, i, j, part, node, w (rows of docs with that set), text: the sets of each component in parts of about BLOCK, a row for each pair of parts that a set's part is in."""
     size = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     w = rows.filter("node IS NOT NULL").groupBy("node").agg(F.count(F.lit(1)).alias("w"))
-    texts = written(_node_texts(docs, comp.select(F.col("node").alias("a"), F.col("node").alias("b"))), "jaccard-texts")
     parts = comp.join(size, "comp").join(w, "node").withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    parts = parts.join(texts, "node").withColumn("k", F.explode(F.expr("sequence(0, parts - 1)")))
+    parts = parts.join(texts[0], "node").join(texts[1].hint("merge"), "h").withColumn("k", F.explode(F.expr("sequence(0, parts - 1)")))
     return parts.select("comp", F.least("k", "part").alias("i"), F.greatest("k", "part").alias("j"), "part", "node", "w", "text").repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "part", "node")
 
 
@@ -533,14 +593,14 @@ def _compared(blocks: DataFrame, counts: bool) -> DataFrame:
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b of every two different sets that link, a below b; and the rows with their sets: doc_id, node, n_shingles. Rows of one node have equal sets and link too."""
-    rows, comp = _grouped(docs)
-    return _compared(_blocks(docs, rows, comp), False), rows.withColumnRenamed("n", "n_shingles")
+    rows, comp, texts = _grouped(docs)
+    return _compared(_blocks(rows, comp, texts), False), rows.select("doc_id", "node", F.col("n").alias("n_shingles"))
 
 
 def link_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, n_links (the other rows of docs that it links with) of every row of docs."""
-    rows, comp = _grouped(docs)
-    others = _compared(_blocks(docs, rows, comp), True).groupBy("node").agg(F.sum("n").alias("others"))
+    rows, comp, texts = _grouped(docs)
+    others = _compared(_blocks(rows, comp, texts), True).groupBy("node").agg(F.sum("n").alias("others"))
     own = rows.filter("node IS NOT NULL").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("own")).join(others, "node", "left")
     to = own.select("node", (F.col("own") + F.coalesce("others", F.lit(0))).alias("n_links"))
     return rows.join(to, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
@@ -548,5 +608,6 @@ def link_counts(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs with the smallest doc_id of each component; of rows that repeat it and its text, all. Without an id a row stays."""
-    few = join(docs).filter("doc_id IS NULL OR doc_id = component_id").select("doc_id").distinct()
-    return docs.join(few.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    name = unused("id", docs)
+    few = join(docs).filter("doc_id IS NULL OR doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(few, docs["doc_id"].cast("long").eqNullSafe(few[name]), "left_semi")
