@@ -13,7 +13,7 @@ queries of a block in groups of at most about QUERY_GROUP.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of another
 length than the most frequent one (the larger on a tie); equal vectors are ranked by vec_id; rows that repeat a vec_id are candidates of their own but
-never for a query with that vec_id; an empty table gives an empty result; other columns are not read.
+never for a query with that vec_id; rows without vec_id can't be named and take no part; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v (array<double>) of the vectors that take part."""
     v = F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(
-        (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
+        F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     )
     sizes = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
     return rows.filter(F.size("v") == (sizes["dims"] if sizes else 0))
@@ -164,7 +164,7 @@ def search(vectors: DataFrame, is_query, k: int = 10, probes: int = PROBES, shar
         import pandas as pd
 
         if not len(block) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         load = lambda t: (t["vec_id"].to_numpy(), np.stack(t["turned"].to_numpy()), np.stack(t["v"].to_numpy()))
         got = list(scan_block(load(block), load(asked), k))
         return pd.DataFrame({"query_id": np.concatenate([np.full(len(i), q) for q, i, _ in got]), "vec_id": np.concatenate([i for _, i, _ in got]), "score": np.concatenate([d for _, _, d in got])})

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomcount.llm.common import written
+from loomcount.llm.common import unused, written
 
 BITS, SUB = 4, 500_000
 
@@ -85,12 +85,14 @@ def assign(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source", "n_chars"
 
 
 def write_shards(docs: DataFrame, path: str, dims: tuple[str, ...] = ("lang", "source", "n_chars"), shards: int = 8, rows_per_file: int = 1_000_000) -> None:
-    """The documents as Parquet under path, a folder for each shard, rows of a file in the order of the curve. Rows meet their places
+    """The documents as Parquet under path, a folder for each shard, rows of a file in the order of the curve; if docs has columns
+    `shard` or `slot`, the new ones get underscores before their names. Rows meet their places
     by doc_id and checksum, which only interchangeable rows share."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = [F.coalesce(F.col("doc_id"), F.lit(-1)).alias("_id"), F.col("text_crc32").alias("_crc")]
-    same = W.partitionBy("_id", "_crc")
-    placed = assign(docs, dims, shards).select(*key, "shard", "slot").withColumn("_nth", F.row_number().over(same.orderBy("shard", "slot")))
-    left = docs.withColumns({"_id": F.coalesce(F.col("doc_id"), F.lit(-1)), "_crc": F.crc32(text.cast("binary"))}).withColumn("_nth", F.row_number().over(same.orderBy("_id")))
-    out = left.join(placed, ["_id", "_crc", "_nth"]).drop("_id", "_crc", "_nth")
-    out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.option("maxRecordsPerFile", rows_per_file).partitionBy("shard").parquet(path)
+    _id, _crc, _nth, shard, slot = (unused(c, docs) for c in ("_id", "_crc", "_nth", "shard", "slot"))
+    same = W.partitionBy(_id, _crc)
+    placed = assign(docs, dims, shards).select(F.coalesce(F.col("doc_id"), F.lit(-1)).alias(_id), F.col("text_crc32").alias(_crc), F.col("shard").alias(shard), F.col("slot").alias(slot))
+    placed = placed.withColumn(_nth, F.row_number().over(same.orderBy(shard, slot)))
+    left = docs.withColumns({_id: F.coalesce(F.col("doc_id"), F.lit(-1)), _crc: F.crc32(text.cast("binary"))}).withColumn(_nth, F.row_number().over(same.orderBy(_id)))
+    out = left.join(placed, [_id, _crc, _nth]).drop(_id, _crc, _nth)
+    out.repartitionByRange(shard, slot).sortWithinPartitions(shard, slot).write.option("maxRecordsPerFile", rows_per_file).partitionBy(shard).parquet(path)

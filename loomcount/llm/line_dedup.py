@@ -8,15 +8,15 @@ lines, 2^k <= m < 2^(k+1), is named by the ranks of its first and its last 2^k l
 
 A run counts from `min_words` words on. For each line the shortest run of that many words that starts there and the shortest
 that ends there are looked up; they cover all lines of every maximal repeated run, and as their lengths follow from their own lines, copies
-look up the same runs. Of each run the first occurrence, by (doc_id, place), stays; the lines of later ones are deleted. The number of
-rounds is the logarithm of the longest such run.
+look up the same runs. Of each run the first occurrence, by (doc_id, place), stays; the lines of later ones are deleted, unless they overlap
+the first one in the same document (of sixty equal lines the first fifty words stay). The number of rounds is the logarithm of the longest such run.
 
 Ranks are running sums over distinct pairs, taken in two steps (ranges of the second rank, then inside a range), so that a line that
 starts a third of all suffixes is not one task.
 
 Defined results: lines end at "\\n"; a null text stays null, an empty one empty; a null doc_id sorts first; rows that repeat both doc_id and text
-count as one document and lose the same lines; a text all of whose lines go becomes empty; an empty table stays empty; all columns are kept and
-names such as "lines" may be taken.
+count as one document and lose the same lines; a text all of whose lines go becomes empty; texts and lines of any length are read whole; an empty table stays
+empty; all columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomcount.llm.common import written
+from loomcount.llm.common import unused, written
 
 MIN_WORDS, RANGES = 50, 1024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,19 +104,27 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = looked.select("doc_id", "h", F.col("run.pos").alias("pos"), F.col("run.m").alias("m"), name.alias("name")).filter("name.x IS NOT NULL AND name.y IS NOT NULL")
     place = F.struct("doc_id", "h", "pos")
     first = found.groupBy("m", "name").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(first, ["m", "name"]).filter(place != F.col("first"))
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & F.col("h").eqNullSafe(F.col("first.h"))
+    later = found.join(first, ["m", "name"]).filter(~here | (F.col("pos") >= F.col("first.pos") + F.col("m")))
     gone = later.select("doc_id", "h", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("m") - 1)).alias("line"))
     return gone.groupBy("doc_id", "h").agg(F.collect_set("line").alias("gone"))
 
 
+def appended(docs: DataFrame) -> tuple[str, str]:
+    """The names that `dedup` gives to the number of lines before and the number deleted."""
+    return unused("_lines", docs), unused("_gone", docs)
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the deleted lines, with _lines (number before) and _gone (number deleted) appended."""
-    gone = written(repeated_runs(docs, min_words), "line-gone").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("gone").alias("_gone_lines"))
-    left = docs.withColumn("_text_hash", F.xxhash64("text"))
+    """docs without the deleted lines, with _lines (number before) and _gone (number deleted) appended; names that are taken get underscores before them."""
+    _id, _h, _hash, _numbers = (unused(c, docs) for c in ("_id", "_h", "_text_hash", "_gone_lines"))
+    gone = written(repeated_runs(docs, min_words), "line-gone").select(F.col("doc_id").alias(_id), F.col("h").alias(_h), F.col("gone").alias(_numbers))
+    left = docs.withColumn(_hash, F.xxhash64("text"))
     # the same join at every size: what is deleted grows with the corpus, so it is never broadcast
-    met = left.join(gone.hint("merge"), left["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_h")), "left")
+    met = left.join(gone.hint("merge"), left["doc_id"].eqNullSafe(F.col(_id)) & (F.col(_hash) == F.col(_h)), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone_lines"))
-    text = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(_numbers))
+    text = F.when(F.col(_numbers).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
     keep = [text.alias("text") if c == "text" else F.col(c) for c in docs.columns]
-    return met.select(*keep, F.coalesce(F.size(lines), F.lit(0)).alias("_lines"), F.coalesce(F.size("_gone_lines"), F.lit(0)).alias("_gone"))
+    n, k = appended(docs)
+    return met.select(*keep, F.coalesce(F.size(lines), F.lit(0)).alias(n), F.coalesce(F.size(_numbers), F.lit(0)).alias(k))

@@ -11,7 +11,7 @@ holds the rest of b: documents before which less than the rest has been taken. T
 that every epoch has an order of its own; the cut is found in two steps, over the sums of 4,096 ranges of the order and
 then inside one range, so that no task sorts a whole leaf.
 
-Defined results: null domain, language or source form nodes of their own; a null text has no tokens; documents without tokens
+Defined results: null domain, language or source form nodes of their own; a null text has no tokens; a node without tokens has the budget 0; documents without tokens
 belong to every whole epoch and to a prefix while it lasts; repeated rows share their place in the order and are taken together; an empty
 table gives an empty result; other columns are kept.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomcount.llm.common import written
+from loomcount.llm.common import unused, written
 
 LEVELS = ("domain", "lang", "source")
 SEED, MAX_EPOCHS, SMOOTH = 17, 3, 0.7
@@ -41,15 +41,15 @@ def token_count(text: Column) -> Column:
 
 def water_fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """nodes: parent columns, name, weight, capacity, budget (the parent's). Replaces budget by the node's own share."""
-    ratio = F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(F.lit(float("inf")))
+    ratio = F.when(F.col("weight") > 0, F.try_divide("capacity", "weight")).otherwise(F.lit(float("inf")))
     order = W.partitionBy(*parent).orderBy(ratio, name)
     before = order.rowsBetween(W.unboundedPreceding, -1)
     after = order.rowsBetween(W.currentRow, W.unboundedFollowing)
-    level = (F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0.0))) / F.sum("weight").over(after)
+    level = F.try_divide(F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0.0)), F.sum("weight").over(after))  # null where no weight is left
     full = F.col("weight") * level >= F.col("capacity")
     out = nodes.withColumn("_full", F.coalesce(full, F.lit(False))).withColumn("_taken", F.coalesce(F.sum(F.when(F.col("_full"), F.col("capacity"))).over(W.partitionBy(*parent)), F.lit(0.0)))
     open_weight = F.sum(F.when(~F.col("_full"), F.col("weight"))).over(W.partitionBy(*parent))
-    share = F.when(F.col("_full"), F.col("capacity")).when(F.col("weight") <= 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("budget") - F.col("_taken")) * F.col("weight") / open_weight)
+    share = F.when(F.col("_full"), F.col("capacity")).when(F.col("weight") <= 0, F.lit(0.0)).otherwise(F.try_divide(F.greatest(F.lit(0.0), F.col("budget") - F.col("_taken")) * F.col("weight"), open_weight))
     return out.withColumn("budget", share).drop("_full", "_taken")
 
 
@@ -73,16 +73,23 @@ def budgets(leaves: DataFrame, total: float, weights: dict[str, DataFrame] | Non
             up = root.select(*[F.col(c).alias(f"_{c}") for c in path[:-1]], "budget")
             nodes = nodes.join(up, [nodes[c].eqNullSafe(up[f"_{c}"]) for c in path[:-1]]).select(*path, "own", "capacity", "weight", "budget")
         root = water_fill(nodes, path[:-1] or [F.lit(0)], path[-1])
-    whole = F.when(F.col("own") > 0, F.floor(F.col("budget") / F.col("own") + 1e-9)).otherwise(0).cast("long")
+    whole = F.coalesce(F.floor(F.try_divide("budget", "own") + 1e-9), F.lit(0)).cast("long")
     return root.select(*LEVELS, F.col("own").cast("long").alias("tokens"), F.round("budget", 3).alias("budget"), whole.alias("whole")).withColumn(
         "rest", F.greatest(F.lit(0.0), F.round(F.col("budget") - F.col("whole") * F.col("tokens"), 3))
     )
 
 
+def appended(docs: DataFrame) -> tuple[str, str, str]:
+    """The names that `mix` gives to domain, n_tokens and epoch."""
+    return tuple(unused(c, docs) for c in ("domain", "n_tokens", "epoch"))
+
+
 def mix(docs: DataFrame, share: float = 1.0, weights: dict[str, DataFrame] | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
-    """The rows of docs once for each epoch that takes them, with domain, n_tokens and epoch (from 0). Budget: share of all tokens."""
-    keyed = docs.withColumns({"_domain": domain(F.col("source")), "_n": token_count(F.col("text")), "_doc": F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))})
-    slim = written(keyed.select(F.col("_domain").alias("domain"), "lang", "source", F.col("_n").alias("n"), F.col("_doc").alias("doc")), "mixing-rows")
+    """The rows of docs once for each epoch that takes them, with domain, n_tokens and epoch (from 0) appended. Budget: share of all tokens.
+    All columns of docs are kept; an appended name that is taken gets underscores before it (`appended`)."""
+    _domain, _n, _doc, _taken = (unused(c, docs) for c in ("_domain_", "_n_", "_doc_", "_taken_"))
+    keyed = docs.withColumns({_domain: domain(F.col("source")), _n: token_count(F.col("text")), _doc: F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))})
+    slim = written(keyed.select(F.col(_domain).alias("domain"), "lang", "source", F.col(_n).alias("n"), F.col(_doc).alias("doc")), "mixing-rows")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n").alias("tokens"))
     total = (slim.agg(F.sum("n")).first()[0] or 0) * share
     plan = written(budgets(leaves, total, weights, max_epochs), "mixing-plan")
@@ -101,9 +108,11 @@ def mix(docs: DataFrame, share: float = 1.0, weights: dict[str, DataFrame] | Non
     ends = inside.withColumn("before", F.col("_before") + own).filter(F.col("before") < F.col("rest")).groupBy(*LEVELS).agg(F.max("key").alias("cut_key"))
     ends = ends.select(*[F.col(c).alias(f"_e_{c}") for c in LEVELS], "cut_key")
     full = to_plan.join(ends, [to_plan[f"_p_{c}"].eqNullSafe(ends[f"_e_{c}"]) for c in LEVELS], "left")
-    full = written(full.select(*[f"_p_{c}" for c in LEVELS], F.col("whole").alias("_whole"), "cut_key"), "mixing-cuts")
-    met = keyed.join(full, [keyed["_domain"].eqNullSafe(full["_p_domain"]), keyed["lang"].eqNullSafe(full["_p_lang"]), keyed["source"].eqNullSafe(full["_p_source"])])
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_whole").cast("string"), F.col("_doc")))
-    taken = F.col("_whole") + F.when(key <= F.col("cut_key"), 1).otherwise(0)
-    out = met.withColumn("_taken", taken).filter("_taken > 0").withColumn("_epoch", F.explode(F.expr("sequence(0L, _taken - 1)")))
-    return out.select(*[F.col(c) for c in docs.columns if c not in ("domain", "n_tokens", "epoch")], F.col("_domain").alias("domain"), F.col("_n").alias("n_tokens"), F.col("_epoch").cast("int").alias("epoch"))
+    cuts = [unused(c, docs) for c in ("_p_domain", "_p_lang", "_p_source", "_whole_", "_cut_key_")]
+    full = written(full.select(*[F.col(f"_p_{c}") for c in LEVELS], "whole", "cut_key").toDF(*cuts), "mixing-cuts")
+    met = keyed.join(full, [keyed[a].eqNullSafe(full[b]) for a, b in zip((_domain, "lang", "source"), cuts, strict=False)])
+    whole, cut_key = F.col(cuts[3]), F.col(cuts[4])
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), whole.cast("string"), F.col(_doc)))
+    out = met.withColumn(_taken, whole + F.when(key <= cut_key, 1).otherwise(0)).filter(F.col(_taken) > 0)
+    d, n, e = appended(docs)
+    return out.select(*docs.columns, F.col(_domain).alias(d), F.col(_n).alias(n), F.explode(F.expr(f"sequence(0, cast(`{_taken}` AS int) - 1)")).alias(e))

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomcount.llm.common import written
+from loomcount.llm.common import unused, written
 
 BITS = 14
 BUCKETS, SAMPLE, KEEP, SEED = 1 << BITS, 20_000, 0.995, 11
@@ -129,7 +129,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) ->
     """doc_id, text, good of at most `limit` labelled documents, chosen by a hash of their ids."""
     few = labels.filter("quality IS NOT NULL").select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
     few = few.groupBy("doc_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64(F.lit(SEED), "doc_id")).limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `limit` rows of nine bytes
+    got = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most `limit` rows of nine bytes
+    return got.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"))  # one text of rows that repeat an id
 
 
 def level(good, other, keep: float = KEEP) -> float:
@@ -156,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple:
     half = F.pmod(F.xxhash64(F.lit(SEED + 1), "doc_id"), F.lit(2)) == 0
     sample = written(labelled_sample(docs, labels).withColumn("fitted", half), "quality-sample")
     weights = log_ratio(_counts(sample.filter("good AND fitted")), _counts(docs))
-    seen = scored(sample.filter("NOT fitted"), weights).select("good", "log_weight").collect()  # at most SAMPLE rows, unless ids repeat
+    seen = scored(sample.filter("NOT fitted"), weights).select("good", "log_weight").collect()  # at most SAMPLE rows
     good, other = (np.array([r[1] for r in seen if r[0] == x]) for x in (True, False))
     return weights, level(good, other)
 
@@ -178,6 +179,8 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> tuple[
 
 
 def keep(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
-    """The rows of docs whose key reaches the k-th largest one, all columns; texts are scored where they are, not shuffled."""
+    """The rows of docs whose key reaches the k-th largest one, all columns, whatever their names; texts are scored where they are, not shuffled.
+    Equal keys belong to rows that repeat doc_id and text: all of them stay, where `resample` cuts at k."""
     _, weights, key = resample(docs, labels, k)
-    return scored(docs, weights, "_log_weight").filter(key_of("_log_weight") >= key).select(*docs.columns)
+    name = unused("_log_weight", docs)
+    return scored(docs, weights, name).filter(key_of(name) >= key).select(*docs.columns)

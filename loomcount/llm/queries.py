@@ -27,7 +27,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = exact_dedup.DigestIndex(spark).ingest(table(spark, sf_dir, "documents"))
+    got = exact_dedup.DigestIndex(spark).ingest_all(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -52,7 +52,7 @@ def test_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(jaccard_join, "SALT_AT", salt)
         monkeypatch.setattr(jaccard_join, "LIST", size)
         rows = corpus(seed, 150)
-        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "'x' as comp")
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "'x' as comp", "2 as id", "3 as h", "4 as _id")
         got = sorted([tuple(r) for r in jaccard_join.join(df).collect()], key=str)
         assert got == brute(rows)
     assert jaccard_join.join(df.limit(0)).count() == 0

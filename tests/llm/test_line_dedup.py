@@ -22,10 +22,10 @@ def brute(rows, least):
                 run = tuple(seq[d][a:b])
                 if sum(map(words, run)) < least:
                     continue
-                if run in first:
+                if run not in first:
+                    first[run] = (d, a)
+                elif first[run][0] != d or a >= first[run][1] + len(run):  # not over the first one
                     gone[d] |= set(range(a, b))
-                else:
-                    first[run] = d
     return sorted(((i, None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i, t])) for i, t in rows), key=str)
 
 
@@ -41,9 +41,13 @@ def test_against_brute_force(spark):
                 t[1:1] = passage[rng.randint(0, 3) :]
             rows.append((i, "\n".join(t)))
         rows += [(41, rows[0][1]), (42, None), (43, ""), (None, rows[3][1]), (44, rows[5][1]), (44, rows[5][1])]
-        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' as gone", "1 as pos")
+        rows += [(45, "\n".join(["p q r"] * 9)), (46, "\n".join(["s t u", "v w"] * 7)), (47, "\n".join(["p q r"] * 5))]
+        clash = ["gone", "pos", "_id", "_lines", "_gone", "_h", "_text_hash", "_gone_lines"]
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", *[f"'c' as {c}" for c in clash])
         out = line_dedup.dedup(df, least)
-        assert out.columns[:4] == ["doc_id", "text", "gone", "pos"]
+        assert out.columns == ["doc_id", "text", *clash, "__lines", "__gone"]
         # documents that differ in id only are ordered by id; a text hash orders equal ids, of which there are none here
         assert sorted([(r["doc_id"], r["text"]) for r in out.collect()], key=str) == brute(rows, least)
     assert line_dedup.dedup(df.limit(0)).count() == 0
+    same = spark.createDataFrame([(1, "\n".join(["a b c d e"] * 60)), (2, "x " * 200_000)], "doc_id long, text string")
+    assert [r["text"] for r in line_dedup.dedup(same).orderBy("doc_id").collect()] == ["\n".join(["a b c d e"] * 10), "x " * 200_000]

@@ -66,8 +66,32 @@ def test_exact_dedup(spark):
     opened = exact_dedup.DigestIndex(spark, "opened_again", index.path, index.buckets)
     assert opened.table().count() == 6
     assert index.ingest(df.limit(0)).count() == 0
+    some = spark.createDataFrame([(95, "later"), (96, "LATER")], "doc_id long, text string")
+    assert [sorted(map(tuple, index.ingest(some, "named").select("doc_id", "keep_id", "kept").collect())) for _ in range(2)] == [[(95, 96, False), (96, 96, True)]] * 2
     plan = spark.table(index.name).groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+    join = index.new_digests(index._rows(df))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in join and "LeftAnti" in join
+    index.drop()
+    assert index.table() is None
+
+
+def test_exact_dedup_of_a_whole_table(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(rng.choice([None, *range(300)]), rng.choice([None, "", "a", "A", "b", "É", f"u{k}"])) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(low(t), []).append(i)
+    want = sorted(((i, max((x for x in groups[low(t)] if x is not None), default=None), len(groups[low(t)])) for i, t in rows), key=str)
+    for hot, batches in ((65_536, 2), (7, 3), (7, 1)):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        index = exact_dedup.DigestIndex(spark)
+        got = index.ingest_all(df, batches).collect()
+        assert sorted(((r["doc_id"], r["keep_id"], r["group_size"]) for r in got), key=str) == want
+        assert sum(r["kept"] for r in got) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+    assert exact_dedup.DigestIndex(spark).ingest_all(df.limit(0)).count() == 0
 
 
 def test_hilbert_curve_is_a_walk(spark):
@@ -101,8 +125,11 @@ def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randint(0, 40)), rng.choice(["en", "de", None]), rng.choice(["src1", "src2", "src30", None, "x"])) for i in range(500)] + [(None, None, "en", "src1"), (7, "a b", "en", "src1"), (7, "a b", "en", "src1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "'d' as domain", "5 as whole")
-    got = mixing.mix(df, share=1.5)
-    assert [tuple(r) for r in got.orderBy("doc_id", "epoch").collect()] == [tuple(r) for r in mixing.mix(df, share=1.5).orderBy("doc_id", "epoch").collect()]
+    names = dict(zip(mixing.appended(df), ("domain", "n_tokens", "epoch"), strict=True))
+    out = mixing.mix(df, share=1.5)
+    assert out.columns == [*df.columns, "_domain", "n_tokens", "epoch"] and out.filter("domain <> 'd' OR whole <> 5").count() == 0
+    got = out.drop("domain").withColumnsRenamed(names)
+    assert [tuple(r) for r in got.orderBy("doc_id", "epoch").collect()] == [tuple(r) for r in mixing.mix(df, share=1.5).drop("domain").withColumnsRenamed(names).orderBy("doc_id", "epoch").collect()]
     leaves = got.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("got"), F.max("n_tokens").alias("most"))
     own = df.select(mixing.domain_of(F.col("source")).alias("domain"), "lang", "source", mixing.token_count(F.col("text")).alias("n")).groupBy("domain", "lang", "source").agg(F.sum("n").alias("tokens"))
     total = own.agg(F.sum("tokens")).first()[0]
@@ -112,6 +139,24 @@ def test_mixing(spark):
     for r in leaves.collect():
         w = want[r["domain"], r["lang"], r["source"]]
         assert w["budget"] - 1e-3 <= r["got"] <= w["budget"] + 45 and w["whole"] <= mixing.MAX_EPOCHS
+    # the documents of each leaf, directly: whole epochs, then the prefix in the seeded order while tokens are left
+    docs = {}
+    for i, t, lang, source in rows:
+        leaf = ("domain%d" % (int(re.search("[0-9]+$", source)[0]) % 4 if source and re.search("[0-9]+$", source) else 0), lang, source)
+        md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+        docs.setdefault(leaf, []).append((md5(f"{'null' if i is None else i}:{md5(t or '')}"), len((t or "").split()), i))
+    wanted = []
+    for leaf, own in docs.items():
+        w = want[leaf]
+        for e in range(w["whole"]):
+            wanted += [(i, e) for _, _, i in own]
+        used, last = 0, None
+        for key, n, i in sorted((md5(f"{mixing.SEED}:{w['whole']}:{d}"), n, i) for d, n, i in own if i is not None or True):
+            if key != last and used >= w["rest"]:
+                break
+            used, last = used + n, key
+            wanted.append((i, w["whole"]))
+    assert sorted(((r["doc_id"], r["epoch"]) for r in got.collect()), key=str) == sorted(wanted, key=str)
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -147,7 +192,7 @@ def test_urls(spark):
 
 
 def brute_nearest(rows, k):
-    good = [(i, np.array(v, dtype=float)) for i, v in rows if v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    good = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
     for q, v in good:
         if q % 100 == 0:
@@ -160,7 +205,7 @@ def test_nearest(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_GROUP", 3)
     rng = np.random.default_rng(3)
     rows = [(i, [float(np.float32(x)) for x in rng.standard_normal(8)]) for i in range(3000)] + [(3000 + i, [1.0] * 8) for i in range(300)]
-    rows += [(5000, None), (5001, []), (5002, [0.0] * 8), (5003, [float("nan")] * 8), (5004, [None] + [1.0] * 7), (5005, [1.0, 2.0]), (5100, [float("inf")] * 8), (5200, [1.0] * 8)]
+    rows += [(5000, None), (5001, []), (5002, [0.0] * 8), (5003, [float("nan")] * 8), (5004, [None] + [1.0] * 7), (5005, [1.0, 2.0]), (5100, [float("inf")] * 8), (5200, [1.0] * 8), (None, [1.0] * 8), (9007199254740993, [1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as list", "2 as score")
     got = {}
     for r in ann.search(df, F.col("vec_id") % 100 == 0).collect():
