@@ -5,11 +5,15 @@ lines        deletes later copies of repeated runs of lines; documents of which
 near_copies  keeps one document of each group linked by shared 5-word shingles
 mixture      takes documents by the token budgets of their domain, language and source, some in more than one epoch
 tokens       encodes and decodes: doc_id, n_tokens and digests of ids and decoded text
+
+Defined results: a null or empty text goes through all stages but the mixture, where it holds no token and is taken as often as its leaf's whole epochs; null ids, very long texts, ties,
+repeated rows and clashing names as the operators state; an empty table gives an empty result; all stages but the last return the columns of docs and no others.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomcount.llm import bpe, jaccard_join, line_dedup, mixing, quality
 from loomcount.llm.common import table, written
@@ -20,7 +24,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(docs).filter("_gone = 0 OR text <> ''").select(*docs.columns)
+    gone = line_dedup.appended(docs)[1]
+    return line_dedup.dedup(docs).filter((F.col(gone) == 0) | (F.col("text") != "")).select(*docs.columns)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +43,7 @@ def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [("quality", quality_stage), ("lines", lines_stage), ("near_copies", near_copies_stage), ("mixture", mixture_stage), ("tokens", tokens_stage)]
-#: SQL cannot express the tokens, nor the sampling; tests/llm holds each stage against a direct version.
+#: SQL cannot express the tokens, nor the sampling; tests/llm/test_pipeline.py holds each stage against a direct version.
 ORACLE_SQL = None
 
 
