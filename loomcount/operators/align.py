@@ -20,6 +20,7 @@ def word_links(pairs: DataFrame, src: Column, trg: Column) -> DataFrame:
 
 def model1(links: DataFrame, rounds: int, written=written) -> DataFrame:
     """s, t, p after so many EM rounds from a uniform start; `written` cuts the lineage between rounds."""
+    links = written(links)  # used twice in each round
     probs = links.select("s", "t").distinct().withColumn("p", F.lit(1.0))
     for _ in range(rounds):
         met = links.join(probs, ["s", "t"])
@@ -203,8 +204,8 @@ def itg_inside(s: list[str], t: list[str], table: dict, null: float = 1e-4):
     return (math.log(total) if total > 0 else float("-inf")), sorted(links)
 
 
-def itg_alignments(pairs: DataFrame, table: dict, most: int = 6) -> DataFrame:
-    """sid, lp, links (i-j joined by spaces) of pairs (sid, src, trg) with at most `most` words a side (the reference takes 9); the others have null."""
+def itg_alignments(pairs: DataFrame, table: dict, most: int = 9) -> DataFrame:
+    """sid, lp, links (i-j joined by spaces) of pairs (sid, src, trg) with at most `most` words a side ; the others have null, because the table of spans grows with the fourth power."""
     import pandas as pd
 
     def run(batches):

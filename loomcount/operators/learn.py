@@ -198,6 +198,6 @@ def walk_forward(rows: DataFrame, steps: list[int], width: int, features: str =
     return got.select("epoch", label, "prediction")
 
 
-def dump_columns(x: Column, n: int) -> list[Column]:
-    """Features as columns for a text dump, the label to be put last."""
-    return [F.get(x, F.lit(k)).alias(f"f{k}") for k in range(n)]
+def dump_line(x: Column) -> Column:
+    """All features of an array as one line of a text dump, five decimals each, the label to be put last."""
+    return F.array_join(F.transform(x, lambda v: F.round(v.cast("double"), 5).cast("decimal(18,5)").cast("string")), " ")

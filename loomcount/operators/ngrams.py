@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomcount.functions import text as tx
+from loomcount.functions.ordered import numbered
 
 
 def grams(words: Column, order: int) -> Column:
@@ -53,11 +53,8 @@ def tf_idf(docs: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word, id in order of first use: the smallest (doc_id, place). The start ids are those of OOV (0), <s> (1) and </s> (2)."""
     first = docs.select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "word")).groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    # ranks by ranges of documents: a running sum over the ranges, then a number inside each
-    ranged = first.withColumn("part", F.floor(F.col("at.doc_id") / 64))
-    sums = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    sums = sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    return ranged.withColumn("k", F.row_number().over(W.partitionBy("part").orderBy("at"))).join(sums, "part").select("word", (F.col("before") + F.col("k") + 2).cast("bigint").alias("id"))
+    ranked = numbered(first.withColumn("doc", F.col("at.doc_id")), "doc", "id", then=("at",))
+    return ranked.select("word", (F.col("id") + 2).cast("bigint").alias("id"))
 
 
 def level_stats(count_table: DataFrame) -> DataFrame:

@@ -59,16 +59,16 @@ def nb_histogram_labels(t: Tables) -> DataFrame:
     return le.best_label(le.nb_histogram(x, le.histograms(x))).select("id", big("label", "label"))
 
 
-_MEMBERS = "v AS (SELECT vec_id AS id, k AS member, embedding[k + 1]::DOUBLE AS score FROM embeddings, range(0, 9) r(k))"
+_MEMBERS = "v AS (SELECT vec_id AS id, k AS member, score::DOUBLE AS score FROM (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding) AS score FROM embeddings))"
 
 
 def votes(t: Tables) -> DataFrame:
-    return t.embeddings.select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 9)).alias("member", "score")).withColumn("score", F.col("score").cast("double"))
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("member", "score")).withColumn("score", F.col("score").cast("double"))
 
 
 @query(f"WITH {_MEMBERS} SELECT id, round(abs(avg(score)) * CASE WHEN sum(CASE WHEN score > 0 THEN 1 ELSE -1 END) > 0 THEN 1 ELSE -1 END, 6) AS score FROM v GROUP BY id")
 def bagging_vote(t: Tables) -> DataFrame:
-    """Nine weak members"""
+    """Each dimension is a weak member"""
     return le.bagged(votes(t)).select("id", r6("score", "score"))
 
 
@@ -187,10 +187,11 @@ def model1_em2(t: Tables) -> DataFrame:
 @query()
 def hmm_training(t: Tables) -> DataFrame:
     """Log likelihood of three rounds over the users' event sequences; equal sequences count by their number"""
-    kinds = F.array(*[F.lit(x) for x in ("click", "view", "purchase", "signup", "logout", "login", "error")])
-    seq = t.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.greatest(F.array_position(kinds, x["event_type"]).cast("int") - 1, F.lit(0))).alias("obs"))
+    names = _streams(t)
+    kinds = F.array(*[F.lit(x) for x in names]).cast("array<string>")  # null and unknown types are one symbol, the first
+    seq = t.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: F.coalesce(F.array_position(kinds, x["event_type"]).cast("int"), F.lit(0))).alias("obs"))
     seqs = seq.groupBy("obs").agg(F.count(F.lit(1)).alias("times"))
-    _, trace = al.baum_welch(seqs, 2, 7, 3)
+    _, trace = al.baum_welch(seqs, 2, len(names) + 1, 3)
     return t._spark.createDataFrame([(k, float(x)) for k, x in enumerate(trace)], "round int, log_likelihood double")
 
 
@@ -309,11 +310,13 @@ def stream_forest(t: Tables) -> DataFrame:
 
 @query()
 def walk_forward(t: Tables) -> DataFrame:
-    """M29"""
-    return le.walk_forward(labelled_streams(t).drop("is_test"), [16, 23], 7)
+    """Fitted on the epochs before a step, applied to the next seven, up to the last epoch"""
+    rows = labelled_streams(t).drop("is_test")
+    last = rows.agg(F.max("epoch")).first()[0] or 0
+    return le.walk_forward(rows, list(range(16, max(last, 16) + 1, 7)), 7)
 
 
-@query("SELECT vec_id, round(embedding[1]::DOUBLE, 5) AS f0, round(embedding[2]::DOUBLE, 5) AS f1, round(embedding[3]::DOUBLE, 5) AS f2, label::BIGINT AS label FROM embeddings")
+@query("SELECT vec_id, array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE, 5)::DECIMAL(18, 5)::VARCHAR), ' ') AS features, label::BIGINT AS label FROM embeddings")
 def feature_dump(t: Tables) -> DataFrame:
-    """Features first, the label last"""
-    return t.embeddings.select("vec_id", *[F.round(c.cast("double"), 5).alias(f"f{k}") for k, c in enumerate(le.dump_columns(F.col("embedding"), 3))], big("label", "label"))
+    """All features first, the label last"""
+    return t.embeddings.select("vec_id", le.dump_line(F.col("embedding")).alias("features"), big("label", "label"))

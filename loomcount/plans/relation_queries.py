@@ -77,12 +77,16 @@ def asof_boundary(t: Tables) -> DataFrame:
     return met.select("o_orderkey", F.coalesce(F.array_min(F.filter("bounds", lambda v: v >= F.col("x"))), F.col("later")).alias("bound"))
 
 
-_EDGES = "e AS (SELECT l_suppkey % 97 AS src, l_partkey % 89 AS dst, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT src AS node, sum(n)::DOUBLE AS x FROM e GROUP BY src)"
+_EDGES = """e AS (SELECT l_suppkey AS src, -l_partkey AS dst, count(*) AS n FROM lineitem GROUP BY ALL
+    UNION ALL SELECT -l_partkey, l_suppkey, count(*) FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL), m AS (SELECT src AS node, sum(n)::DOUBLE AS x FROM e GROUP BY src)"""
 _RATIO = "CASE WHEN {1} <> 0 THEN {0} / {1} WHEN {0} = 0 THEN 1 ELSE 0 END"
 
 
 def edges(t: Tables) -> tuple[DataFrame, DataFrame]:
-    e = t.lineitem.groupBy((F.col("l_suppkey") % 97).alias("src"), (F.col("l_partkey") % 89).alias("dst")).agg(F.count(F.lit(1)).alias("n"))
+    """Deliveries from suppliers (their keys) to parts (their keys below zero), returns the other way round; and the measure of nodes with out-links."""
+    supplier, part, n = F.col("l_suppkey"), -F.col("l_partkey"), F.count(F.lit(1)).alias("n")
+    back = t.lineitem.filter("l_returnflag = 'R'").groupBy(part.alias("src"), supplier.alias("dst")).agg(n)
+    e = t.lineitem.groupBy(supplier.alias("src"), part.alias("dst")).agg(n).union(back)
     return e, e.groupBy(F.col("src").alias("node")).agg(F.sum("n").cast("double").alias("x"))
 
 

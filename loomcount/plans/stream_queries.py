@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomcount import streaming
 from loomcount.plans.registry import Tables, query
+from loomcount.sources.tables import new_path
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS cnt FROM events GROUP BY ALL")
@@ -16,8 +17,8 @@ def daily_windows_stream(t: Tables) -> DataFrame:
     """In complete mode, so that open windows are there too"""
     spark = t._spark
     rows = t.events
-    stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "events.parquet" if not t._dir.startswith("viewfs") else "events.parquet*").parquet(t._dir)
+    stream = spark.readStream.schema(rows.schema).parquet(f"{t._dir}/events.parquet*")
     name = f"daily_{uuid.uuid4().hex}"
-    q = streaming.daily_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = streaming.daily_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(spark, "daily-windows")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "cnt")

@@ -55,8 +55,6 @@ def tokens_stripped(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", big(F.size(w), "n"), F.md5(F.array_join(w, " ")).alias("joined"))
 
 
-_VOCAB = f"""v AS (SELECT word, row_number() OVER (ORDER BY d, pos) + 2 AS id FROM (SELECT word, min((d, pos)).d AS d, min((d, pos)).pos AS pos FROM
-    (SELECT doc_id AS d, unnest(range(len(w))) AS pos, unnest(w) AS word FROM w) GROUP BY word))"""
 _VOCAB = """v AS (SELECT word, row_number() OVER (ORDER BY d, pos) + 2 AS id FROM (SELECT word, min(d) AS d, arg_min(pos, d * 1000000 + pos) AS pos FROM
     (SELECT doc_id AS d, unnest(range(len(w))) AS pos, unnest(w) AS word FROM w) GROUP BY word))"""
 

@@ -5,18 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as Parquet under spark.checkpoint.dir, or under a temporary folder where that is unset (local sessions); cuts the lineage."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path under spark.checkpoint.dir, or under a temporary folder where that is unset and the master is local."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        at = _own.setdefault(app, tempfile.mkdtemp(prefix="loomcount-")) if app not in _own else _own[app]
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="loomcount-")
+        at = _own[app]
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """df as Parquet in the shared folder; cuts the lineage."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
