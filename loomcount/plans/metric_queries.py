@@ -97,13 +97,14 @@ def rank_of_last_top(t: Tables) -> DataFrame:
 
 
 @query(f"""WITH {_G} SELECT p, round((hits + pos) / positives, 6) AS tpr, round((seen + n - hits - pos) / (total - positives), 6) AS fpr, round((hits + pos) / (seen + n), 6) AS pre,
-    round((hits + pos) / (seen + n) / (positives / total), 6) AS lift, round((hits + pos + total - positives - (seen + n - hits - pos)) / total, 6) AS acc FROM g""")
+    round((hits + pos) / (seen + n) / (positives / total), 6) AS lift, round((hits + pos + total - positives - (seen + n - hits - pos)) / total, 6) AS acc,
+    round((positives - hits - pos) * 5.0 + seen + n - hits - pos, 6) AS cost FROM g""")
 def curves(t: Tables) -> DataFrame:
-    """ROC, precision-recall, lift and accuracy by threshold"""
+    """ROC, precision-recall, lift, accuracy and cost (5 for a missed positive, 1 for a false one) by threshold"""
     g = me.tie_groups(scored(t))
     tp, all_ = F.col("hits") + F.col("pos"), F.col("seen") + F.col("n")
     neg = F.col("total") - F.col("positives")
-    return g.select("p", r6(tp / F.col("positives"), "tpr"), r6((all_ - tp) / neg, "fpr"), r6(tp / all_, "pre"), r6(tp / all_ / (F.col("positives") / F.col("total")), "lift"), r6((tp + neg - (all_ - tp)) / F.col("total"), "acc"))
+    return g.select("p", r6(tp / F.col("positives"), "tpr"), r6((all_ - tp) / neg, "fpr"), r6(tp / all_, "pre"), r6(tp / all_ / (F.col("positives") / F.col("total")), "lift"), r6((tp + neg - (all_ - tp)) / F.col("total"), "acc"), r6((F.col("positives") - tp) * 5.0 + (all_ - tp), "cost"))
 
 
 _T = _G + """, t AS (SELECT p, (p + lead(p) OVER (ORDER BY p DESC)) / 2 AS th, hits + pos AS tp, seen + n - hits - pos AS fp, positives - hits - pos AS fn, total - positives - (seen + n - hits - pos) AS tn, total FROM g)"""
