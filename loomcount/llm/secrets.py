@@ -157,20 +157,45 @@ def candidates(index: DataFrame, queries: dict[str, object]) -> DataFrame:
     return out.filter(some)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with value computed once: the lambda's variable stands for it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
-    """array<struct<start, end>> of the rule's matches in text, with the lengths of what lies between them."""
-    pattern = F.lit(rule.pattern)
-    both = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    lengths = F.filter(both, lambda x: x["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,ok:boolean>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + F.char_length(x["gap"])
-        end = begin + F.char_length(x["hit"])
-        part = F.regexp_extract(x["hit"], rule.pattern, rule.group)
-        return F.struct(end.alias("at"), F.array_append(a["out"], F.struct(begin.alias("start"), end.alias("end"), (F.char_length(part) >= rule.least).alias("ok"))).alias("out"))
-
-    return F.filter(F.aggregate(lengths, start, step, lambda a: a["out"]), lambda x: x["ok"])
+    """array<struct<start, end>> of the rule's matches in text, with the lengths of what lies between them.
+
+    The running length is taken in blocks of about the root of the number of matches, because each append copies its array."""
+    both = F.arrays_zip(F.split(text, rule.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)).alias("hit"))
+
+    def sized(x: Column) -> Column:
+        enough = F.char_length(F.regexp_extract(x["hit"], rule.pattern, rule.group)) >= rule.least
+        return F.struct(F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), enough.alias("ok"))
+
+    def folded(items: Column, at: Column, kind: str, step) -> Column:
+        begin = F.struct(at.alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(items, begin, step, lambda a: a["out"])
+
+    def blocks(m: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(m))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(m), F.lit(1)), width), lambda i: F.slice(m, i, width))
+
+    def next_block(a: Column, m: Column) -> Column:
+        end = F.aggregate(m, a["at"], lambda z, x: z + x["gap"] + x["hit"])
+        return F.struct(end.alias("at"), F.array_append(a["out"], a["at"]).alias("out"))
+
+    def next_span(a: Column, x: Column) -> Column:
+        begin = a["at"] + x["gap"]
+        end = begin + x["hit"]
+        span = F.struct(begin.alias("start"), end.alias("end"), x["ok"].alias("ok"))
+        return F.struct(end.alias("at"), F.array_append(a["out"], span).alias("out"))
+
+    def placed(bs: Column) -> Column:
+        within = lambda m, at: folded(m, at, "struct<start:int,end:int,ok:boolean>", next_span)
+        return F.flatten(F.zip_with(bs, folded(bs, F.lit(0), "int", next_block), within))
+
+    matches = F.transform(F.filter(both, lambda x: x["hit"].isNotNull()), sized)
+    return F.filter(bound(bound(matches, blocks), placed), lambda x: x["ok"])
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

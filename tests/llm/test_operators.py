@@ -40,6 +40,18 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+def test_spans_of_many_matches(spark):
+    rule = next(r for r in secrets.RULES if r.kind == "assign")
+    for n in (0, 1, 2, 3, 4, 5, 16, 17, 2000):
+        text = "é ".join("token=" + "a" * (6 + k % 5) for k in range(n)) + " end"
+        got = spark.createDataFrame([(text,)], "text string").select(secrets.spans_of(F.col("text"), rule).alias("x")).first()["x"]
+        want = [m.span() for m in re.finditer(r"token=([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 8]
+        assert [(x["start"], x["end"]) for x in got] == want
+    text = "token=abcdefgh " * 40_000
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert secrets.digest(secrets.scan(rows)).first()["n_assign"] == 40_000
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]{32,}") is True
     assert secrets.trigram_query("abcd") == ("and", frozenset({("tri", "abc"), ("tri", "bcd")}))
