@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a public vocabulary whose words end in a suffix, long texts by tree concatenation.
 
 Words: texts of common signs (COMMON) are lower-cased and split by the tokenizer's own rule here; each different word is encoded once
-by a worker and kept in a bounded table. Any other text goes whole through the library.
+by a worker and kept in a bounded table. Any other text goes through the library, in pieces that end between words; one without white space or
+signs that end a sentence or clause is one piece.
 
 Trees: a text of more than `split_chars` characters is cut into pieces of about that size, encoded as rows of their own by any
 executor, and put together again. A cut at white space separates words and needs no more. A text without white space is
@@ -31,6 +32,8 @@ _LETTERS, _NUMBERS, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ſ", "0-9
 COMMON = re.compile("[\x00-įı-ſ‐-‧‰-⁞€]*")
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACE}{_LETTERS}{_NUMBERS}]+")
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
+# where words of any script end: at white space, and behind these signs, which make no word with the letter or number that follows
+CUT_ANY = re.compile(r"[\t-\r ]|(?<=[.,;:!?。，、！？；：])(?=[^\W_])")
 CUT_AT = re.compile(rf"[{_SPACE}]|(?<=[A-Za-z]{{4}})(?=[A-Za-z])")
 _codecs: dict[str, Codec] = {}
 
@@ -181,14 +184,14 @@ def codec(path: str) -> Codec:
 
 
 def cut(text: str, size: int) -> list[tuple[str, bool, bool]]:
-    """Pieces of a text with whether a word goes on before and after. Texts that only the library splits stay whole."""
-    if not is_common(text):
-        return [(text, False, False)]
+    """Pieces of a text with whether a word goes on before and after. Texts of other than common signs are cut between words only."""
+    common = is_common(text)
+    where = CUT_AT if common else CUT_ANY
     out, at, was = [], 0, False
     while at < len(text):
-        m = CUT_AT.search(text, min(at + size, len(text))) if len(text) - at > size else None
+        m = where.search(text, min(at + size, len(text))) if len(text) - at > size else None
         stop = m.start() if m else len(text)
-        goes_on = bool(m) and m.end() == m.start()
+        goes_on = common and bool(m) and m.end() == m.start()
         out.append((text[at:stop], was, goes_on))
         at, was = stop, goes_on
     return out
