@@ -170,56 +170,166 @@ def max_span(iteration: Column, start: int, every: int, most: int) -> Column:
     return F.least(F.lit(start) + F.floor(iteration / every), F.lit(most))
 
 
-def itg_inside(s: list[str], t: list[str], table: dict, null: float = 1e-4):
-    """Inside log probability and Viterbi links of a pair under an inversion grammar: spans of both sides are split straight or inverted; O(n^3 m^3), short pairs only."""
+#: Probabilities of the grammar's rules: both children in the same order, in turned order, a word pair.
+ITG_RULES = {"straight": 0.4, "inverted": 0.2, "word": 0.4}
+#: Pairs of the same lengths whose charts are filled together: 5 MB a chart at nine words a side.
+ITG_TOGETHER = 64
+
+
+def _itg_words(s: list[str], t: list[str], table: dict, unseen: float):
+    """chart[i, j, u, v] of word rules only: s[i:j] with t[u:v], where one of them may be empty (linked with the null word)."""
+    import numpy as np
+
+    n, m, w = len(s), len(t), ITG_RULES["word"]
+    chart = np.zeros((n + 1, n + 1, m + 1, m + 1))
+    for i in range(n):
+        chart[i, i + 1, range(m + 1), range(m + 1)] = w * table.get((s[i], NULL), unseen)
+        for u in range(m):
+            chart[i, i + 1, u, u + 1] = w * table.get((s[i], t[u]), unseen)
+    for u in range(m):
+        chart[range(n + 1), range(n + 1), u, u + 1] = w * table.get((NULL, t[u]), unseen)
+    return chart
+
+
+def _itg_spans(n: int, m: int) -> list[tuple[int, int, int, int]]:
+    """Spans of two words or more, smaller ones first."""
+    every = [(i, j, u, v) for i in range(n + 1) for j in range(i, n + 1) for u in range(m + 1) for v in range(u, m + 1) if j - i + v - u > 1]
+    return sorted(every, key=lambda q: q[1] - q[0] + q[3] - q[2])
+
+
+def _itg_children(i: int, j: int, u: int, v: int):
+    """For each order the index pairs of the first and second children at all splits; a split with an empty child weighs nothing."""
+    k, m = slice(i, j + 1), slice(u, v + 1)
+    yield "straight", (i, k, u, m), (k, j, m, v)
+    yield "inverted", (i, k, m, v), (k, j, u, m)
+
+
+def itg_expected_of(group: list[tuple[list[str], list[str], dict]], unseen: float = 1e-6) -> list[tuple[float, dict]]:
+    """For pairs (s, t, table) of the same two lengths: the inside log probability under an inversion grammar, and how often each word pair is expected in
+    the derivations (inside and outside). All pairs go through the chart together."""
     import math
 
-    from functools import cache
-
-    p = {"straight": 0.4, "inverted": 0.2, "word": 0.4}
-
-    def word(i, j, u, v):
-        if j - i == 1 and v - u == 1:
-            return p["word"] * table.get((s[i], t[u]), 1e-6), ((i, u),)
-        if (j - i, v - u) in ((1, 0), (0, 1)):
-            return p["word"] * null, ()
-        return 0.0, ()
-
-    @cache
-    def span(i, j, u, v):
-        total, (best, links) = word(i, j, u, v)[0], word(i, j, u, v)
-        for k in range(i, j + 1):
-            for m in range(u, v + 1):
-                for name, x, y in (("straight", (i, k, u, m), (k, j, m, v)), ("inverted", (i, k, m, v), (k, j, u, m))):
-                    empty = lambda q: q[0] == q[1] and q[2] == q[3]
-                    if empty(x) or empty(y):
-                        continue
-                    a, b = span(*x), span(*y)
-                    total += p[name] * a[0] * b[0]
-                    if p[name] * a[1] * b[1] > best:
-                        best, links = p[name] * a[1] * b[1], a[2] + b[2]
-        return total, best, links
+    import numpy as np
+
+    n, m = len(group[0][0]), len(group[0][1])
+    words = np.stack([_itg_words(*x, unseen) for x in group], axis=-1)
+    inside, spans = words.copy(), _itg_spans(n, m)
+    for q in spans:
+        inside[q] += sum(ITG_RULES[name] * (inside[x] * inside[y]).sum((0, 1)) for name, x, y in _itg_children(*q))
+    z = inside[0, n, 0, m]
+    outside = np.zeros_like(inside)
+    outside[0, n, 0, m] = 1.0
+    for q in reversed(spans):
+        for name, x, y in _itg_children(*q):
+            above = ITG_RULES[name] * outside[q]
+            first, second = above * inside[y], above * inside[x]
+            outside[x] += first
+            outside[y] += second
+    used = words * outside
+    out: list[tuple[float, dict]] = [(math.log(p) if p > 0 else float("-inf"), {}) for p in z.tolist()]
+    for i, j, u, v, k in zip(*(x.tolist() for x in np.nonzero(used)), strict=True):
+        s, t, _ = group[k]
+        pair, counts = (s[i] if j > i else NULL, t[u] if v > u else NULL), out[k][1]
+        if z[k] > 0:
+            counts[pair] = counts.get(pair, 0.0) + float(used[i, j, u, v, k]) / float(z[k])
+    return out
 
-    total, _, links = span(0, len(s), 0, len(t))
-    return (math.log(total) if total > 0 else float("-inf")), sorted(links)
 
+def itg_expected(s: list[str], t: list[str], table: dict, unseen: float = 1e-6) -> tuple[float, dict]:
+    return itg_expected_of([(s, t, table)], unseen)[0]
 
-def itg_alignments(pairs: DataFrame, table: dict, most: int = 9) -> DataFrame:
-    """sid, lp, links (i-j joined by spaces) of pairs (sid, src, trg) with at most `most` words a side ; the others have null, because the table of spans grows with the fourth power."""
+
+def itg_inside(s: list[str], t: list[str], table: dict, unseen: float = 1e-6):
+    """Inside log probability of a pair and the links (i, u) of its best derivation; O(n^3 m^3), short pairs only."""
+    import numpy as np
+
+    best, split = _itg_words(s, t, table, unseen), {}
+    for q in _itg_spans(len(s), len(t)):
+        for name, x, y in _itg_children(*q):
+            p = ITG_RULES[name] * best[x] * best[y]
+            at = np.unravel_index(int(p.argmax()), p.shape)
+            if p[at] > best[q]:
+                best[q], split[q] = p[at], (name, q[0] + int(at[0]), q[2] + int(at[1]))
+    links, todo = [], [(0, len(s), 0, len(t))]
+    while todo:
+        q = i, j, u, v = todo.pop()
+        if q not in split:
+            links += [(i, u)] if j > i and v > u and best[q] > 0 else []
+            continue
+        name, k, m = split[q]
+        todo += [(i, k, u, m), (k, j, m, v)] if name == "straight" else [(i, k, m, v), (k, j, u, m)]
+    return itg_expected(s, t, table, unseen)[0], sorted(links)
+
+
+def _itg_pairs(pairs: DataFrame, most: int, written) -> tuple[DataFrame, DataFrame]:
+    """(k, src, trg, times) of different pairs of 1 to `most` words a side, and (k, s, t): the word pairs that each of them asks for, (most + 1)^2 at most."""
+    sides = F.size("src").between(1, most) & F.size("trg").between(1, most)
+    short = pairs.filter(sides).groupBy("src", "trg").agg(F.count(F.lit(1)).alias("times")).withColumn("k", F.monotonically_increasing_id())
+    short = written(short)
+    word = lambda c: F.explode(F.array_distinct(F.concat(c, F.array(F.lit(NULL)))))
+    asked = short.select("k", word("src").alias("s"), "trg").select("k", "s", word("trg").alias("t"))
+    return short, asked.filter((F.col("s") != NULL) | (F.col("t") != NULL))
+
+
+def _with_table(short: DataFrame, asked: DataFrame, probs: DataFrame) -> DataFrame:
+    """Each pair with its own part of the table of word pairs. The rows are few and dear, so they are spread over a fixed number of tasks."""
+    tasks = int(short.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = asked.join(probs, ["s", "t"]).groupBy("k").agg(F.collect_list(F.struct("s", "t", "p")).alias("part"))
+    return short.join(part, "k", "left").repartition(tasks, "k")
+
+
+def _table_of(part) -> dict:
+    return {} if part is None else {(x["s"], x["t"]): x["p"] for x in part}
+
+
+def itg_train(pairs: DataFrame, rounds: int, most: int = 9, written=written) -> tuple[DataFrame, list[float]]:
+    """s, t, p (a joint distribution over word pairs, the null word on one side included) after so many EM rounds over pairs (src array, trg array), from a
+    uniform start, with the log likelihood before each round. Equal pairs are computed once. Pairs with an empty side or more than `most` words a side are not read: the table
+    of spans grows with the fourth power of the length. Without pairs the table is empty. The word `<null>` is taken as the null word."""
+    import pandas as pd
+
+    short, asked = _itg_pairs(pairs, most, written)
+    asked = written(asked)
+    probs = asked.select("s", "t").distinct()
+    probs = written(probs.withColumn("p", F.lit(1.0 / max(1, probs.count()))))
+    trace = []
+
+    def expect(batches):
+        for b in batches:
+            likely, counts, shapes = 0.0, {}, {}
+            for s, t, times, part in zip(b["src"], b["trg"], b["times"], b["part"], strict=True):
+                shapes.setdefault((len(s), len(t)), []).append((list(s), list(t), _table_of(part), times))
+            groups = (same[at : at + ITG_TOGETHER] for same in shapes.values() for at in range(0, len(same), ITG_TOGETHER))
+            for group in groups:
+                for (*_, times), (lp, got) in zip(group, itg_expected_of([x[:3] for x in group], 0.0), strict=True):
+                    likely += times * lp
+                    for pair, c in got.items():
+                        counts[pair] = counts.get(pair, 0.0) + times * c
+            rows = [(*pair, c) for pair, c in counts.items()] + [(None, None, likely)]
+            yield pd.DataFrame(rows, columns=["s", "t", "c"])
+
+    for _ in range(rounds):
+        found = _with_table(short, asked, probs).select("src", "trg", "times", "part").mapInPandas(expect, "s string, t string, c double")
+        found = written(found.groupBy("s", "t").agg(F.sum("c").alias("c")))
+        likely, total = found.agg(F.sum(F.when(F.col("s").isNull(), F.col("c"))), F.sum(F.when(F.col("s").isNotNull(), F.col("c")))).first()
+        trace.append(likely or 0.0)
+        probs = written(found.filter("s IS NOT NULL AND c > 0").select("s", "t", (F.col("c") / F.lit(total)).alias("p")))
+    return probs, trace
+
+
+def itg_alignments(pairs: DataFrame, probs: DataFrame, most: int = 9, written=written) -> DataFrame:
+    """sid, lp, links (i-j joined by spaces) of pairs (sid, src, trg) under a table (s, t, p); pairs with an empty side or more than `most` words a side have null."""
     import pandas as pd
 
+    short, asked = _itg_pairs(pairs, most, written)
+
     def run(batches):
         for b in batches:
-            out = []
-            for sid, s, t in zip(b["sid"], b["src"], b["trg"], strict=True):
-                if 0 < len(s) <= most and 0 < len(t) <= most:
-                    lp, links = itg_inside(list(s), list(t), table)
-                    out.append((sid, lp, " ".join(f"{i}-{j}" for i, j in links)))
-                else:
-                    out.append((sid, None, None))
-            yield pd.DataFrame(out, columns=["sid", "lp", "links"])
-
-    return pairs.mapInPandas(run, "sid string, lp double, links string")
+            made = [itg_inside(list(s), list(t), _table_of(part)) for s, t, part in zip(b["src"], b["trg"], b["part"], strict=True)]
+            yield pd.DataFrame({"src": b["src"], "trg": b["trg"], "lp": [x[0] for x in made], "links": [" ".join(f"{i}-{j}" for i, j in x[1]) for x in made]})
+
+    got = _with_table(short, asked, probs).select("src", "trg", "part").mapInPandas(run, "src array<string>, trg array<string>, lp double, links string")
+    return pairs.select("sid", "src", "trg").join(got, ["src", "trg"], "left").select("sid", "lp", "links")
 
 
 def grammar_stats(rules: DataFrame) -> DataFrame:

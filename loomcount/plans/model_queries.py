@@ -195,11 +195,25 @@ def hmm_training(t: Tables) -> DataFrame:
     return t._spark.createDataFrame([(k, float(x)) for k, x in enumerate(trace)], "round int, log_likelihood double")
 
 
+def itg_units(t: Tables) -> DataFrame:
+    """sid, src, trg: clauses of a user turn with the clauses at the same place of the turn that follows; one that has no partner has an empty one."""
+    clauses = lambda c: F.split(c, r"[.,;:!?\n]+")
+    p = turn_pairs(t).select("conv_id", "turn", F.posexplode(F.arrays_zip(clauses("src").alias("src"), clauses("trg").alias("trg"))).alias("k", "x"))
+    words = lambda c: tx.tokens(F.coalesce(F.col(c), F.lit("")))
+    return p.select(F.concat_ws(":", "conv_id", "turn", "k").alias("sid"), words("x.src").alias("src"), words("x.trg").alias("trg"))
+
+
 @query()
 def itg_alignment(t: Tables) -> DataFrame:
-    """M03 in part: inside probabilities and best links of short pairs under an empty word table, without EM"""
-    p = turn_pairs(t).select(F.concat_ws(":", "conv_id", "turn").alias("sid"), tx.tokens(F.col("src")).alias("src"), tx.tokens(F.col("trg")).alias("trg"))
-    return al.itg_alignments(p, {})
+    """Inside probabilities and best links of clauses of up to nine words a side, under a table learned in two rounds"""
+    units = written(itg_units(t))
+    return al.itg_alignments(units, al.itg_train(units, 2)[0])
+
+
+@query()
+def itg_table(t: Tables) -> DataFrame:
+    """The joint distribution over word pairs after two rounds of expected counts"""
+    return al.itg_train(itg_units(t), 2)[0]
 
 
 _DISH = f"{TOKENS}, c AS (SELECT lang, word, count(*) AS c, count(DISTINCT source) AS t FROM (SELECT lang, source, unnest(w) AS word FROM w) GROUP BY ALL), z AS (SELECT lang, sum(c) AS cc, sum(t) AS tt, count(*) AS v FROM c GROUP BY lang)"
