@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -307,3 +307,21 @@ def entropy_sampled(t: Tables) -> DataFrame:
 def distinct_values(t: Tables) -> DataFrame:
     """H16"""
     return t.documents.groupBy("lang").agg(F.count_distinct("source").alias("sources"), F.count_distinct("n_chars").alias("sizes"))
+
+
+def _lengths(t: Tables, finger: Column) -> DataFrame:
+    return t.documents.select(F.col("doc_id").alias("address"), F.coalesce("n_chars", F.lit(0)).alias("value"), finger.cast("long").alias("finger"))
+
+
+@query("""WITH b AS (SELECT doc_id * 31 // 32 AS cell, doc_id * 31 % 32 AS off, coalesce(n_chars, 0) << (doc_id * 31 % 32) AS v FROM documents),
+    p AS (SELECT cell, v & 4294967295 AS bits FROM b UNION ALL SELECT cell + 1, v >> 32 FROM b WHERE off > 1) SELECT cell, bit_or(bits) AS bits FROM p GROUP BY cell""")
+def packed_lengths(t: Tables) -> DataFrame:
+    """Text lengths in 31 bits each, by doc_id"""
+    return sk.packed(_lengths(t, F.lit(0)), 31)
+
+
+@query("SELECT doc_id, coalesce(n_chars, 0) AS value FROM documents")
+def packed_read(t: Tables) -> DataFrame:
+    """Written and read back with the fingerprint of each document"""
+    rows = _lengths(t, F.xxhash64("doc_id"))
+    return sk.unpacked(rows.select("address", "finger"), sk.packed(rows, 31), 31).select(F.col("address").alias("doc_id"), "value")

@@ -1,6 +1,7 @@
 """Operators on small inputs with known answers."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,20 @@ def test_model1_learns_a_pair(spark):
 def test_inversion_grammar():
     lp, links = align.itg_inside(["a", "b"], ["B", "A"], {("a", "A"): 0.9, ("b", "B"): 0.9})
     assert links == [(0, 1), (1, 0)] and lp < 0
+
+
+def test_packed_numbers_come_back(spark):
+    rng = random.Random(7)
+    for width in (1, 5, 11, 17, 31):
+        rows = [(a, rng.randrange(1 << width), rng.choice((0, -5, rng.getrandbits(62)))) for a in rng.sample(range(300), 120)]
+        df = spark.createDataFrame(rows, "address long, value long, finger long")
+        cells = sketch.packed(df, width)
+        bits = sum(((v ^ f) & ((1 << width) - 1)) << (a * width) for a, v, f in rows)
+        assert all(r["bits"] == bits >> (32 * r["cell"]) & 0xFFFFFFFF for r in cells.collect())
+        got = sketch.unpacked(df.drop("value"), cells, width).collect()
+        assert sorted((r["address"], r["value"], r["finger"]) for r in got) == sorted(rows)
+        free = spark.createDataFrame([(5000, 0)], "address long, finger long")
+        assert sketch.unpacked(free, cells, width).first()["value"] == 0
+    for bad in (32, None):
+        with pytest.raises(Exception, match="does not fit"):
+            sketch.packed(spark.createDataFrame([(0, bad, 0)], "address long, value long, finger long"), 5).collect()
