@@ -6,25 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-PARTS = 1024
-
 
 def running(df: DataFrame, key: str, sums: dict[str, Column], descending: bool = False, then: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
-    """df with, for each name, the sum over the rows before this one in the order of the numeric key (then of the columns `then`), in each group `by`.
-
-    The span of the key is cut into PARTS ranges; sums of the ranges run in a window of PARTS rows a group, rows only inside their range.
-    Null keys come last."""
-    ends = df.groupBy(*by).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    ends = ends.select(*[F.col(c).alias(f"_by_{c}") for c in by], "_lo", "_hi")
-    met = df.join(ends, [df[c].eqNullSafe(ends[f"_by_{c}"]) for c in by]) if by else df.crossJoin(F.broadcast(ends))  # one row
-    share = (F.col(key).cast("double") - F.col("_lo").cast("double")) / F.nullif(F.col("_hi").cast("double") - F.col("_lo").cast("double"), F.lit(0.0))
-    part = F.floor((1 - share if descending else share) * (PARTS - 1)).cast("int")
-    met = met.withColumn("_part", F.when(F.col(key).isNull(), PARTS).otherwise(F.coalesce(part, F.lit(0)))).drop("_lo", "_hi", *[f"_by_{c}" for c in by])
-    met = met.withColumns({f"_v_{n}": c for n, c in sums.items()})
+    """df with, for each name, the sum over the rows before this one in the order of the key (then of the columns `then`), in each group `by`.
+
+    Rows are cut into ranges of about equal numbers, by a sample of groups, keys and `then` together, and written once, so that both uses see the same
+    ranges; sums of the ranges run in a window of at most a row for each range a group, rows only inside their range. Null keys come last."""
+    from loomcount.sources.tables import written
+
+    order = [F.desc_nulls_last(key) if descending else F.asc_nulls_last(key), *[F.asc(c) for c in then]]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = df.withColumns({f"_v_{n}": c for n, c in sums.items()}).repartitionByRange(ranges, *by, *order)
+    met = written(met.withColumn("_part", F.spark_partition_id()), "ranges")
     total = met.groupBy(*by, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     over = W.partitionBy(*[F.col(c) for c in by] or [F.lit(0)]).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     total = total.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_part").alias("_p"), *[F.coalesce(F.sum(f"_t_{n}").over(over), F.lit(0)).alias(f"_at_{n}") for n in sums])
-    order = [F.desc(key) if descending else F.asc(key), *then]
     inner = W.partitionBy(*by, "_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     met = met.withColumns({f"_in_{n}": F.coalesce(F.sum(f"_v_{n}").over(inner), F.lit(0)) for n in sums})
     out = met.join(total, [met[c].eqNullSafe(total[f"_by_{c}"]) for c in by] + [F.col("_part") == F.col("_p")])

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomcount.functions.special import lgamma, log_poisson
-from loomcount.sources.tables import written
+from loomcount.sources.tables import spread, written
 
 NULL = "<null>"
 
 
 def word_links(pairs: DataFrame, src: Column, trg: Column) -> DataFrame:
     """sid, s, t, n: how often a source word (with the null word) and a target word meet in a pair. Repeats are counted, not repeated."""
-    p = pairs.select("sid", F.concat(F.array(F.lit(NULL)), src).alias("s"), trg.alias("t"))
+    p = spread(pairs).select("sid", F.concat(F.array(F.lit(NULL)), src).alias("s"), trg.alias("t"))
     a = p.select("sid", F.explode("s").alias("s"), "t").select("sid", "s", F.explode("t").alias("t"))
     return a.groupBy("sid", "s", "t").agg(F.count(F.lit(1)).alias("n"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomcount.functions import text as tx
 from loomcount.functions.ordered import numbered
+from loomcount.sources.tables import spread
 
 
 def grams(words: Column, order: int) -> Column:
@@ -19,7 +20,7 @@ def exploded(docs: DataFrame, words: Column, orders: list[int], *keep: str) -> D
     """keep..., ord, gram: a row for each occurrence."""
     of = lambda n: F.transform(grams(F.col("_w"), n), lambda g: F.struct(F.lit(n).alias("ord"), g.alias("gram")))
     every = F.flatten(F.array(*[of(n) for n in orders]))
-    return docs.select(*keep, words.alias("_w")).select(*keep, F.explode(every).alias("g")).select(*keep, F.col("g.ord").cast("bigint").alias("ord"), F.col("g.gram").alias("gram"))
+    return spread(docs).select(*keep, words.alias("_w")).select(*keep, F.explode(every).alias("g")).select(*keep, F.col("g.ord").cast("bigint").alias("ord"), F.col("g.gram").alias("gram"))
 
 
 def counts(docs: DataFrame, orders: list[int], *by: str, pad: bool = False) -> DataFrame:
@@ -52,7 +53,7 @@ def tf_idf(docs: DataFrame) -> DataFrame:
 
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word, id in order of first use: the smallest (doc_id, place). The start ids are those of OOV (0), <s> (1) and </s> (2)."""
-    first = docs.select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "word")).groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
+    first = spread(docs).select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("pos", "word")).groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     ranked = numbered(first.withColumn("doc", F.col("at.doc_id")), "doc", "id", then=("at",))
     return ranked.select("word", (F.col("id") + 2).cast("bigint").alias("id"))
 

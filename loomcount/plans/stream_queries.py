@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomcount import streaming
+from loomcount.operators import ngrams as ng
 from loomcount.plans.registry import Tables, query
+from loomcount.plans.state_queries import _BOTH, _period
 from loomcount.sources.tables import new_path
 
 
@@ -22,3 +24,29 @@ def daily_windows_stream(t: Tables) -> DataFrame:
     q = streaming.daily_counts(stream, "ts", "event_type").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", new_path(spark, "daily-windows")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "cnt")
+
+
+@query(f"WITH {_BOTH}, s3 AS (SELECT * FROM s WHERE cnt >= 3), {_period('s3')}")
+def trie_period_stream(t: Tables) -> DataFrame:
+    """Documents with even ids arrive first, those with odd ids as the next period, to a stream that goes on from its checkpoint"""
+    spark, docs, at = t._spark, t.documents, new_path(t._spark, "periods")
+    for rest in (0, 1):
+        docs.filter(F.col("doc_id") % 2 == rest).write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{at}/in")
+        writer = streaming.period_updates(stream, lambda batch: ng.counts(batch, [1, 2]), f"{at}/state", f"{at}/checkpoint", 3)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/state/1").select("gram", "ord", "cnt", "hit")
+
+
+@query(r"SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words, length(coalesce(text, ''))::BIGINT AS signs FROM documents")
+def per_document_function(t: Tables) -> DataFrame:
+    """A Python function of each document, called with Arrow batches"""
+    import re
+
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def measured(batch):
+        texts = batch["text"].fillna("")
+        return batch[["doc_id"]].assign(words=texts.map(lambda x: len(word.findall(x))).astype("int64"), signs=texts.str.len().astype("int64"))
+
+    return streaming.per_document(t.documents.select("doc_id", "text"), measured, "doc_id long, words long, signs long")

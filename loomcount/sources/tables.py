@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder."""
+"""Intermediate tables in the shared folder, and small tables dealt to all cores."""
 
 from __future__ import annotations
 
@@ -29,3 +29,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to tasks where it is so small that Spark makes fewer tasks than there are cores: below spark.sql.files.openCostInBytes (4 MB) a core, by
+    the plan's statistics. For small rows that become many (n-grams, word pairs). Larger tables stay as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    least = spark._jsparkSession.sessionState().conf().filesOpenCostInBytes()
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(2 * cores) if size < least * cores else df
