@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomcount.functions import text as tx
 from loomcount.operators import align as al
+from loomcount.operators import grammar as gr
 from loomcount.operators import learn as le
 from loomcount.operators import ngrams as ng
 from loomcount.operators import sketch as sk
@@ -216,6 +217,16 @@ def itg_table(t: Tables) -> DataFrame:
     return al.itg_train(itg_units(t), 2)[0]
 
 
+@query()
+def derivation_samples(t: Tables) -> DataFrame:
+    """Rules of the clauses' derivations after two rounds of the binary sampler and one of the multinomial one; places are @0, @1, ..."""
+    state = written(gr.started(itg_units(t)))
+    for k, every in enumerate((False, False, True)):
+        state = written(gr.sampled(state, k, 11, every, most=4, shard_of=64))
+    side = lambda k: F.translate(F.replace(F.get(F.split("rule", gr.APART * 2), F.lit(k)), F.lit(gr.NONTERMINAL), F.lit("@")), gr.APART, " ").alias("st"[k])
+    return gr.rule_counts(state).select(side(0), side(1), "n")
+
+
 _DISH = f"{TOKENS}, c AS (SELECT lang, word, count(*) AS c, count(DISTINCT source) AS t FROM (SELECT lang, source, unnest(w) AS word FROM w) GROUP BY ALL), z AS (SELECT lang, sum(c) AS cc, sum(t) AS tt, count(*) AS v FROM c GROUP BY lang)"
 
 
