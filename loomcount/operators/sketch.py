@@ -177,23 +177,23 @@ def bloomier_query(keys: DataFrame, key: str, tables: DataFrame, most: int, part
     return keyed.groupBy("part").cogroup(tables.groupBy("part")).applyInPandas(look, f"{key} string, cnt long")
 
 
-CELL_BITS = 32
+WORD_BITS = 32
 
 
 def packed(values: DataFrame, width: int) -> DataFrame:
     """cell, bits: an array of numbers of `width` bits (31 at most) without gaps in cells of 32 bits, from (address, value, finger) with different addresses from 0 on. What
     is written is the value xor the finger's low bits (finger 0: the value itself). A value that is null or needs more bits is an error; cells of zeros only
     are there if an address in them was written."""
-    if not 0 < width < CELL_BITS:
+    if not 0 < width < WORD_BITS:
         raise ValueError("1 to 31 bits")
     mask = (1 << width) - 1
     fits = F.when(F.col("value").between(0, mask), F.col("value").cast("long")).otherwise(F.raise_error(F.lit("a value does not fit its bits")).cast("long"))
     bit = F.col("address").cast("long") * width
-    rows = values.select(F.shiftright(bit, 5).alias("at"), F.pmod(bit, F.lit(CELL_BITS)).cast("int").alias("off"), fits.bitwiseXOR(F.col("finger").cast("long").bitwiseAND(F.lit(mask))).alias("v"))
+    rows = values.select(F.shiftright(bit, 5).alias("at"), F.pmod(bit, F.lit(WORD_BITS)).cast("int").alias("off"), fits.bitwiseXOR(F.col("finger").cast("long").bitwiseAND(F.lit(mask))).alias("v"))
     rows = rows.select("at", "off", F.expr("shiftleft(v, off)").alias("both"))
-    low = F.struct(F.col("at").alias("cell"), F.col("both").bitwiseAND(F.lit((1 << CELL_BITS) - 1)).alias("bits"))
-    high = F.struct((F.col("at") + 1).alias("cell"), F.shiftright("both", CELL_BITS).alias("bits"))
-    parts = F.when(F.col("off") + width > CELL_BITS, F.array(low, high)).otherwise(F.array(low))
+    low = F.struct(F.col("at").alias("cell"), F.col("both").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("bits"))
+    high = F.struct((F.col("at") + 1).alias("cell"), F.shiftright("both", WORD_BITS).alias("bits"))
+    parts = F.when(F.col("off") + width > WORD_BITS, F.array(low, high)).otherwise(F.array(low))
     return rows.select(F.inline(parts)).groupBy("cell").agg(F.bit_or("bits").alias("bits"))
 
 
@@ -201,8 +201,8 @@ def unpacked(asked: DataFrame, cells: DataFrame, width: int) -> DataFrame:
     """asked (address, finger) with `value`: what stands there xor the finger's low bits; addresses in cells that are absent hold zero. One join: an
     address whose number goes over the end of its cell asks for two."""
     mask, bit = (1 << width) - 1, F.col("address").cast("long") * width
-    places = asked.withColumn("_at", F.shiftright(bit, 5)).withColumn("_off", F.pmod(bit, F.lit(CELL_BITS)).cast("int"))
-    over = F.when(F.col("_off") + width > CELL_BITS, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    places = asked.withColumn("_at", F.shiftright(bit, 5)).withColumn("_off", F.pmod(bit, F.lit(WORD_BITS)).cast("int"))
+    over = F.when(F.col("_off") + width > WORD_BITS, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     met = places.withColumn("_k", F.explode(over)).withColumn("cell", F.col("_at") + F.col("_k")).join(cells, "cell", "left")
     part = F.expr("shiftright(shiftleft(coalesce(bits, 0L), 32 * _k), _off)").bitwiseAND(F.lit(mask))
     whole = met.groupBy("address", "finger").agg(F.bit_or(part).alias("value"))
