@@ -104,3 +104,85 @@ def dot(a: Column, b: Column) -> Column:
 
 def l2(a: Column) -> Column:
     return F.sqrt(dot(a, a))
+
+
+def bound(f, /, **values: Column) -> Column:
+    """f of a struct of the values, each of them evaluated once however often f uses it."""
+    box = F.array(F.struct(*[c.cast("double").alias(name) for name, c in values.items()]))
+    return F.get(F.transform(box, f), F.lit(0))
+
+
+def _series(terms: Column, first: dict[str, Column], factor) -> Column:
+    """1 and the sum of so many more terms, each the one before times factor(constants, k), k = 1, 2, ..."""
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"), *[c.alias(name) for name, c in first.items()])
+
+    def add(s: Column, k: Column) -> Column:
+        grown = s["term"] * factor(s, k)
+        return F.struct(grown.alias("term"), (s["sum"] + grown).alias("sum"), *[s[name].alias(name) for name in first])
+
+    return F.aggregate(F.sequence(F.lit(1), F.ceil(terms).cast("int")), start, add)["sum"]
+
+
+def gamma_p(a: Column, x: Column) -> Column:
+    """Regularised lower incomplete gamma function for a > 0, x >= 0: the series of positive terms, as many as the arguments ask for; 1 far beyond a."""
+
+    def value(v: Column) -> Column:
+        a, x = v["a"], v["x"]
+        total = _series(200 + 20 * F.sqrt(x) + 3 * F.greatest(x - a, F.lit(0.0)), {"a": a, "x": x}, lambda s, k: s["x"] / (s["a"] + k))
+        inside = F.least(F.lit(1.0), total * F.exp(a * F.log(x) - x - lgamma(a + 1)))
+        return F.when(x <= 0, 0.0).when(x > a + 40 * F.sqrt(a) + 400, 1.0).when(x > 0, inside)
+
+    return bound(value, a=a, x=x)
+
+
+def normal_cdf(z: Column) -> Column:
+    return bound(lambda v: 0.5 + F.signum(v["z"]) * gamma_p(F.lit(0.5), v["z"] * v["z"] / 2) / 2, z=z)
+
+
+def chi2_cdf(x: Column, df: Column) -> Column:
+    return gamma_p(df / 2, x / 2)
+
+
+def _beta_terms(x: Column, a: Column, b: Column) -> Column:
+    """About how many terms the series of the incomplete beta function takes: those up to its largest one, then until they fade."""
+    rest = F.greatest(1 - x, F.lit(1e-300))
+    over = F.greatest(x * (a + b) - a, F.lit(0.0)) / rest
+    near = 10 * F.sqrt((a + over) * (a + over + b) / b)
+    fade = F.when(over > 0, over + 80 / rest).otherwise(40 / F.greatest(1 - F.greatest(x, x * (a + b) / a), F.lit(1e-300)))
+    return F.when(over > 1_000, 1e18).otherwise(over + F.least(near, fade))
+
+
+def beta_i(x: Column, a: Column, b: Column) -> Column:
+    """Regularised incomplete beta function for 0 <= x <= 1, null unless a, b > 0: a series of positive terms for x or for 1 - x, whichever takes fewer."""
+
+    def side(v: Column) -> Column:
+        x, a, b = v["x"], v["a"], v["b"]
+        total = _series(30 + 1.5 * v["terms"], {"a": a, "b": b, "x": x}, lambda s, k: s["x"] * (s["a"] + s["b"] + k - 1) / (s["a"] + k))
+        half = (a * F.log(x) + b * F.log1p(-x) + lgamma(a + b) - lgamma(a + 1) - lgamma(b)) / 2
+        inside = bound(lambda w: F.least(F.lit(1.0), F.exp(w["half"]) * w["total"] * F.exp(w["half"])), half=half, total=total)
+        return F.when(x <= 0, 0.0).when(x >= 1, 1.0).when(x < 1, inside)
+
+    def value(v: Column) -> Column:
+        x, a, b, turn = v["x"], v["a"], v["b"], v["other"] < v["own"]
+        pick = lambda y, z: F.when(turn, y).otherwise(z)
+        got = bound(side, x=pick(1 - x, x), a=pick(b, a), b=pick(a, b), terms=F.least(v["own"], v["other"]))
+        return bound(lambda w: F.when(w["turn"] > 0, 1 - w["got"]).otherwise(w["got"]), turn=turn.cast("int"), got=got)
+
+    return bound(lambda v: bound(value, x=v["x"], a=v["a"], b=v["b"], own=_beta_terms(v["x"], v["a"], v["b"]), other=_beta_terms(1 - v["x"], v["b"], v["a"])), x=x, a=F.when(a > 0, a), b=F.when(b > 0, b))
+
+
+def student_cdf(t: Column, df: Column) -> Column:
+    def value(v: Column) -> Column:
+        return bound(lambda w: F.when(w["t"] < 0, w["tail"]).otherwise(1 - w["tail"]), t=v["t"], tail=beta_i(v["df"] / (v["df"] + v["t"] * v["t"]), v["df"] / 2, F.lit(0.5)) / 2)
+
+    return bound(value, t=t, df=F.when(df > 0, df))
+
+
+def fisher_cdf(f: Column, d1: Column, d2: Column) -> Column:
+    return bound(lambda v: beta_i(v["d1"] * v["f"] / (v["d1"] * v["f"] + v["d2"]), v["d1"] / 2, v["d2"] / 2), f=f, d1=d1, d2=d2)
+
+
+def binomial_cdf(k: Column, n: Column) -> Column:
+    """Of n throws of a fair coin, at most k heads."""
+    inside = lambda v: beta_i(F.lit(0.5), F.greatest(v["n"] - v["k"], F.lit(1.0)), F.greatest(v["k"] + 1, F.lit(1.0)))
+    return bound(lambda v: F.when(v["k"] >= v["n"], 1.0).when(v["k"] < 0, 0.0).otherwise(inside(v)), k=k, n=n)
