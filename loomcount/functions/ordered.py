@@ -30,3 +30,25 @@ def running(df: DataFrame, key: str, sums: dict[str, Column], descending: bool =
 def numbered(df: DataFrame, key: str, name: str, descending: bool = False, then: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
     """df with its place (from 1) in the order."""
     return running(df, key, {name: F.lit(1)}, descending, then, by).withColumn(name, (F.col(name) + 1).cast("bigint"))
+
+
+def bracketed(df: DataFrame, key: str, known: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with `before` and `after`: the last non-null value of `known` at or before the row, and the first at or after it, in the order of the key in each group `by`.
+
+    Rows are cut into ranges by a sample and written once, as in `running`; inside a range they look at the range only, and what lies beyond it is carried from range to range, a row for
+    each range of a group. So no group is sorted in one task."""
+    from loomcount.sources.tables import written
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = df.withColumn("_v", known).repartitionByRange(ranges, *by, key)
+    met = written(met.withColumn("_part", F.spark_partition_id()), "ranges")
+    some = met.filter("_v IS NOT NULL").groupBy(*by, "_part").agg(F.max_by("_v", key).alias("_last"), F.min_by("_v", key).alias("_first"))
+    parts = met.select(*by, "_part").distinct()
+    parts = parts.join(some, [parts[c].eqNullSafe(some[c]) for c in by] + [parts["_part"] == some["_part"]], "left").select(*[parts[c].alias(f"_by_{c}") for c in by], parts["_part"].alias("_p"), "_last", "_first")
+    over = W.partitionBy(*[F.col(f"_by_{c}") for c in by] or [F.lit(0)]).orderBy("_p")
+    parts = parts.withColumn("_last", F.last("_last", True).over(over.rowsBetween(W.unboundedPreceding, -1))).withColumn("_first", F.first("_first", True).over(over.rowsBetween(1, W.unboundedFollowing)))
+    inner = W.partitionBy(*by, "_part").orderBy(key)
+    met = met.withColumn("_in_last", F.last("_v", True).over(inner.rowsBetween(W.unboundedPreceding, 0))).withColumn("_in_first", F.first("_v", True).over(inner.rowsBetween(0, W.unboundedFollowing)))
+    out = met.join(parts, [met[c].eqNullSafe(parts[f"_by_{c}"]) for c in by] + [F.col("_part") == F.col("_p")])
+    out = out.withColumn("before", F.coalesce("_in_last", "_last")).withColumn("after", F.coalesce("_in_first", "_first"))
+    return out.drop("_v", "_part", "_p", "_last", "_first", "_in_last", "_in_first", *[f"_by_{c}" for c in by])

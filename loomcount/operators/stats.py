@@ -204,4 +204,5 @@ def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
     ranks = _ties(rows, ("c",), F.lit(True)).select("c", "x", (F.col("twice") / 2).alias("rank"))
     ranked = rows.join(ranks, ["c", "x"])  # values of many rows: AQE splits their partitions
     vectors = ranked.groupBy("id").agg(*[F.max(F.when(F.col("c") == k, F.col("rank"))).alias(f"r{k}") for k in range(len(columns))])
+    vectors = written(vectors, "spearman-ranks")
     return covariances(vectors, F.array(*[f"r{k}" for k in range(len(columns))])).select("i", "j", "n", F.col("pearson").alias("spearman"))
