@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomcount.functions import text as tx
 from loomcount.operators import graph as gr
+from loomcount.operators import neighbours as nb
 from loomcount.operators import ngrams as ng
 from loomcount.operators import sketch as sk
 from loomcount.plans.registry import Tables, big, query, r6
@@ -325,3 +326,24 @@ def packed_read(t: Tables) -> DataFrame:
     """Written and read back with the fingerprint of each document"""
     rows = _lengths(t, F.xxhash64("doc_id"))
     return sk.unpacked(rows.select("address", "finger"), sk.packed(rows, 31), 31).select(F.col("address").alias("doc_id"), "value")
+
+
+_DIFF = "list_sum(list_transform(list_zip(q.v, e.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT q.vec_id AS query_id, e.vec_id, sqrt({_DIFF}) AS d FROM e q JOIN e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM d) SELECT query_id, rank::INTEGER AS rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 5""")
+def kd_nearest(t: Tables) -> DataFrame:
+    """2.14 exact nearest neighbours"""
+    index = nb.Index(t.embeddings, "vec_id", F.col("embedding"))
+    queries = t.embeddings.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return nb.nearest(index, queries, 5).select("query_id", "rank", F.col("id").alias("vec_id"), r6("distance", "distance"))
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT q.vec_id AS query_id, e.vec_id, sqrt({_DIFF}) AS d FROM e q JOIN e ON q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id)
+    SELECT query_id, vec_id, round(d, 6) AS distance FROM d WHERE d <= 1.1""")
+def kd_range(t: Tables) -> DataFrame:
+    """2.14 exact range search"""
+    index = nb.Index(t.embeddings, "vec_id", F.col("embedding"))
+    queries = t.embeddings.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return nb.within(index, queries, 1.1).select("query_id", F.col("id").alias("vec_id"), r6("distance", "distance"))
