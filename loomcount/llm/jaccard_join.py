@@ -12,9 +12,12 @@ Index lists hold (node, set size, position), a hot one in salted parts, and are
    what its copies have in common. Rows point to the leaders of their class and the neighbouring ones in another component; each set is compared with
    the LEADERS leaders that it meets most often, and links join components. A set takes over the answer of the leader that it links
    with: what lies in one component is compared no more. This is done ROUNDS times, with the components of the time before.
-3. Of lists that still hold several components, sorted in blocks of sizes and by position inside a block, a node meets only blocks of sizes that can
-   link, and of these only the positions from which the overlap can be reached; pairs of one component are left out. A set that does not link with
-   its leader has more rare shingles of its own than the bound allows, so few pairs are left in a group of copies. All of them are verified: no component loses a link.
+3. What remains is derived from leaders. Each comparison with a leader leaves the difference of the two sets (shingles missing and added). A set takes the leader
+   that most sets were compared with as its root, roots that meet in lists are compared with the most frequent of them (JOINS times), differences to a leader that has a root of its own are composed
+   (the symmetric difference of two differences), and the difference of two sets of one root is that of their differences: a and b link when 9 |D(a) xor D(b)| <= |a| + |b|. So sets of one template that differ in a few words each are compared by these few shingles, in
+   blocks of GROUP, and only those that link come out, a row a set: near misses cost no pairs.
+4. Of lists that still hold several components and roots, sorted in blocks of sizes and by position inside a block, a node meets only blocks of sizes that can
+   link, and of these only the positions from which the overlap can be reached; pairs of one component or one root are left out. All of them are verified: no component loses a link.
 
 `join` gives the components and leaves links inside a component untried. `links` and `link_counts` give all links: a link never leaves a component,
 so the different sets of each component are dealt into blocks of BLOCK and every two sets of a component are compared exactly, block by block.
@@ -34,6 +37,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -42,6 +46,7 @@ from pyspark.sql import functions as F
 from loomcount.llm.common import drop_written, new_path, unused, written
 
 SIZE, SKETCH_BITS, SLICES, NODE_BITS, LIST, SALT_AT, LEADERS, ROUNDS, BLOCK, HOT = 5, 22, 64, 27, 32_768, 50_000, 2, 2, 128, 4_096
+GROUP, JUMPS, JOINS = 1_024, 3, 2
 
 
 def _sets(column):
@@ -285,14 +290,14 @@ def _dealt(rows: DataFrame, first: bool) -> DataFrame:
 
 
 def _cross(lists: DataFrame) -> DataFrame:
-    """Pairs a, b of different components that one of the lists (token, i, j; sorted) lets link."""
+    """Pairs a, b of different components and roots that one of the lists (token, i, j; sorted) lets link."""
 
-    def pairs(node, n, pos, comp, part, i, j):
+    def pairs(node, n, pos, comp, part, root, i, j):
         import numpy as np
 
         if len(node) <= 64:
             x, y = np.triu_indices(len(node), 1)
-            good = (comp[x] != comp[y]) & _fits(n[x], pos[x], n[y], pos[y])
+            good = (comp[x] != comp[y]) & (root[x] != root[y]) & _fits(n[x], pos[x], n[y], pos[y])
             if i != j:
                 good &= part[x] != part[y]
             x, y = node[x[good]], node[y[good]]
@@ -301,7 +306,7 @@ def _cross(lists: DataFrame) -> DataFrame:
             return
         block = np.floor(np.log(n) / np.log(1.05)).astype(np.int64)
         order = np.lexsort((pos, block))
-        node, n, pos, comp, part, block = (c[order] for c in (node, n, pos, comp, part, block))
+        node, n, pos, comp, part, root, block = (c[order] for c in (node, n, pos, comp, part, root, block))
         starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
         ends = np.append(starts[1:], len(block))
         low = np.array([n[s:e].min() for s, e in zip(starts, ends, strict=True)])
@@ -316,7 +321,7 @@ def _cross(lists: DataFrame) -> DataFrame:
                 if pos[x] > n[x] - room:
                     continue
                 y = np.arange(s, s + np.searchsorted(pos[s:e], high[k] - room, side="right"))
-                y = y[(comp[y] != comp[x]) & (~small[y] | (y < x))]
+                y = y[(comp[y] != comp[x]) & (root[y] != root[x]) & (~small[y] | (y < x))]
                 if i != j:
                     y = y[part[y] != part[x]]
                 y = y[_fits(n[x], pos[x], n[y], pos[y])]
@@ -344,7 +349,7 @@ def _cross(lists: DataFrame) -> DataFrame:
             if out:
                 yield made(out)
 
-    cols = ["token", "i", "j", "node", "n", "pos", "comp", "part"]
+    cols = ["token", "i", "j", "node", "n", "pos", "comp", "part", "root"]
     return lists.select(*cols).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -396,7 +401,8 @@ def _drop_texts(texts: tuple[DataFrame, DataFrame, str]) -> None:
 
 
 def _verified(texts: tuple[DataFrame, DataFrame, str], pairs: DataFrame) -> DataFrame:
-    """Of pairs node, leader those whose sets link, as a, b. A text goes to the leader's, which is copied once for each HOT of its pairs; the table of texts itself is read in its buckets."""
+    """The pairs node, leader compared by whole sets: a (leader), b (node), good (they link), diff (the shingles that only one of them has, if
+    half of the shingles are common). A text goes to the leader's, which is copied once for each HOT of its pairs; the table of texts itself is read in its buckets."""
     reps, table, _ = texts
     parts = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("parts"))
     heads = parts.join(reps.withColumnRenamed("node", "leader"), "leader").join(table.hint("merge"), "h")
@@ -409,11 +415,12 @@ def _verified(texts: tuple[DataFrame, DataFrame, str], pairs: DataFrame) -> Data
         import numpy as np
         import pyarrow as pa
 
+        names = ["a", "b", "good", "diff"]
         for b in batches:
             left = b.column(0).to_pylist()
             new = [k for k, x in enumerate(left) if k == 0 or x != left[k - 1]]
             sets_a = dict(_sets(b.column(2).take(pa.array(new, pa.int64()))))
-            good, at = np.zeros(len(left), dtype=bool), -1
+            good, diff, at = np.zeros(len(left), dtype=bool), [None] * len(left), -1
             for k, other in _sets(b.column(3)):
                 while at + 1 < len(new) and new[at + 1] <= k:
                     at += 1
@@ -421,11 +428,92 @@ def _verified(texts: tuple[DataFrame, DataFrame, str], pairs: DataFrame) -> Data
                 at_other = np.searchsorted(kept, other)
                 at_other[at_other == len(kept)] = 0
                 both = int((kept[at_other] == other).sum())
-                good[k] = 100 * both >= 80 * (len(kept) + len(other) - both)
-            mask = pa.array(good)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
+                total = len(kept) + len(other)
+                good[k] = 100 * both >= 80 * (total - both)
+                if 4 * both >= total:
+                    diff[k] = np.setxor1d(kept, other, assume_unique=True).view(np.int64)
+            some = pa.array(np.flatnonzero(good | np.array([d is not None for d in diff], dtype=bool)))
+            cols = [b.column(0), b.column(1), pa.array(good), pa.array(diff, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([c.take(some) for c in cols], names=names)
+
+    return both.mapInArrow(run, "a long, b long, good boolean, diff array<long>")
+
+
+def _homes(found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, root, n, comp, diff of those nodes (node, n, comp) that were compared with a leader, and of the roots among them."""
+    pairs = found.filter("diff IS NOT NULL")  # either one may lead
+    pairs = pairs.select(F.col("a").alias("leader"), F.col("b").alias("node"), "diff").union(pairs.select("b", "a", "diff"))
+    times = pairs.groupBy("leader").agg(F.count(F.lit(1)).alias("times"))
+    own = times.select(F.col("leader").alias("node"), F.col("times").alias("own"))
+    up = pairs.join(times, "leader").join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    up = up.filter("times > own OR (times = own AND leader < node)")  # towards leaders of more sets: no circles
+    k = F.row_number().over(W.partitionBy("node").orderBy(F.desc("times"), F.size("diff"), "leader"))
+    up = written(up.withColumn("k", k).filter("k = 1").select("node", F.col("leader").alias("root"), "diff"), "jaccard-homes")
+    spent = [up]
+    for _ in range(JUMPS):
+        over = up.select(F.col("node").alias("root"), F.col("root").alias("top"), F.col("diff").alias("more"))
+        both = F.concat(F.array_except("diff", "more"), F.array_except("more", "diff"))
+        up = up.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"), F.when(F.col("top").isNull(), F.col("diff")).otherwise(both).alias("diff"))
+        up = written(up, "jaccard-homes")
+        spent.append(up)
+    roots = up.select(F.col("root").alias("node")).distinct().join(up.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"), F.array().cast("array<bigint>").alias("diff"))
+    out = written(up.unionByName(roots).join(nodes, "node"), "jaccard-homes")
+    for x in spent:
+        drop_written(x)
+    return out
+
+
+def _derived(homes: DataFrame) -> DataFrame:
+    """node, label for nodes of one root that link, by their differences to it: the label names their component inside a block, as far as it is not one component before."""
+    size = homes.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("root", "parts")
+    rows = homes.join(size, "root").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("k", F.explode(F.expr("sequence(0, parts - 1)")))
+    rows = rows.select("root", F.least("k", "part").alias("i"), F.greatest("k", "part").alias("j"), "part", "node", "n", "comp", "diff")
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        node, n, comp, part = (table.column(c).to_numpy() for c in ("node", "n", "comp", "part"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        diff = table.column("diff").combine_chunks()
+        sizes = diff.value_lengths().to_numpy(zero_copy_only=False)
+        owner, element = np.repeat(np.arange(len(node)), sizes), diff.flatten().to_numpy()
+        _, at, times = np.unique(element, return_inverse=True, return_counts=True)
+        some = times[at] > 1  # the others are in no intersection
+        owner, at = owner[some], (np.cumsum(times > 1) - 1)[at[some]]
+        order = np.argsort(at, kind="stable")
+        owner, at, width = owner[order], at[order], 4_096
+        rows, columns = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        both = np.zeros((len(rows), len(columns)), dtype=np.int64)
+        for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+            s, e = np.searchsorted(at, (low, low + width))
+            has = np.zeros((len(node), width), dtype=np.float32)
+            has[owner[s:e], at[s:e] - low] = 1
+            both += (has[rows] @ has[columns].T).astype(np.int64)
+        apart = sizes[rows][:, None] + sizes[columns][None, :] - 2 * both
+        good = (9 * apart <= n[rows][:, None] + n[columns][None, :]) & (comp[rows][:, None] != comp[columns][None, :])
+        x, y = np.nonzero(good)
+        x, y = rows[x], columns[y]
+        label = labels_of(len(node), x, y)
+        linked = np.flatnonzero(label != np.arange(len(node)))
+        return pa.table({"node": pa.array(node[linked], pa.int64()), "label": pa.array(node[label[linked]], pa.int64())})
+
+    return rows.groupBy("root", "i", "j").applyInArrow(run, "node long, label long")
+
 
-    return both.mapInArrow(run, "a long, b long")
+def labels_of(n: int, x, y):
+    """The smallest place that each of n places reaches by the pairs x, y."""
+    import numpy as np
+
+    label = np.arange(n)
+    while True:
+        after = label.copy()
+        np.minimum.at(after, x, label[y])
+        np.minimum.at(after, y, label[x])
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -455,7 +543,7 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, Da
     dealt = written(_dealt(_postings(docs, _levels(first)).withColumn("comp", F.col("node")), True), "jaccard-lists")
     lists = dealt.filter("leader IS NULL").drop("leader")
     texts = _node_texts(docs, rows, lists.select("node"))
-    met, spent = dealt.filter("leader IS NOT NULL").select("node", "leader"), [dealt]
+    met, spent, compared = dealt.filter("leader IS NOT NULL").select("node", "leader"), [dealt], []
     tried = links = comp = docs.sparkSession.createDataFrame([], "a long, b long")
     comp = comp.toDF("node", "comp")
 
@@ -464,15 +552,19 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, Da
 
     def add(more: DataFrame) -> bool:
         """Verifies the pairs node, leader that are new; whether some of them link."""
-        nonlocal tried, links, comp
         a, b = F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
         new = more.groupBy(a, b).agg(F.min("leader").alias("leader")).join(tried, ["a", "b"], "left_anti")
         new = written(new.select("a", "b", "leader", F.when(F.col("leader") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("node")), "jaccard-tried")
         spent.append(new)
         if new.isEmpty():
             return False
-        found = written(_verified(texts, new.select("node", "leader")), "jaccard-links")
-        spent.append(found)
+        got = written(_verified(texts, new.select("node", "leader")), "jaccard-links")
+        spent.append(got)
+        compared.append(got)
+        return known(new, got.filter("good").select("a", "b"))
+
+    def known(new: DataFrame, found: DataFrame) -> bool:
+        nonlocal tried, links, comp
         tried, links = tried.union(new.select("a", "b")), links.union(found)
         if found.isEmpty():
             return False
@@ -488,29 +580,58 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame, tuple[DataFrame, Da
             break
 
     # lists of several components; of these the rows that can link with a size near their own in the whole list
-    known = with_comp(lists).withColumn("kind", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
-    kinds = known.groupBy("token", "kind").agg(F.min("n").alias("low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    now = with_comp(lists).withColumn("kind", F.floor(F.log("n") / F.log(F.lit(1.25))).cast("int"))
+    kinds = now.groupBy("token", "kind").agg(F.min("n").alias("low"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     kinds = kinds.groupBy("token").agg(F.collect_list(F.struct("kind", "low")).alias("kinds"), F.min("x").alias("x"), F.max("y").alias("y")).filter("x <> y").drop("x", "y")
     near = F.expr("exists(kinds, k -> abs(k.kind - kind) <= 1 AND 9 * pos <= 5 * n - 4 * greatest(k.low, cast(ceil(0.8 * n) AS int)))")
-    left = written(known.join(kinds, "token").filter(near).select("token", "node", "n", "pos", "comp"), "jaccard-left")
-    mixed = left.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("parts")).filter("x <> y").select("token", "parts")
+    left = written(now.join(kinds, "token").filter(near).select("token", "node", "n", "pos", "comp"), "jaccard-left")
+    spent.append(left)
+    if compared and not left.isEmpty():
+        nodes = left.select("node", "n", "comp").distinct()
+        for k in range(JOINS + 1):
+            homes = _homes(reduce(DataFrame.union, compared), nodes)
+            spent.append(homes)
+            rooted = left.join(homes.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            if k == JOINS:
+                break
+            # roots of one list are compared with its most frequent one, each with the one that it meets most often
+            times = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("times"))
+            top = times.groupBy("token").agg(F.max_by("root", F.struct("times", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+            meet = times.join(top, "token").filter("root <> top").groupBy("root", "top").agg(F.count(F.lit(1)).alias("times"))
+            meet = meet.withColumn("k", F.row_number().over(W.partitionBy("root").orderBy(F.desc("times"), "top"))).filter("k = 1")
+            before = len(compared)
+            add(meet.select(F.col("root").alias("node"), F.col("top").alias("leader")))
+            if len(compared) == before:
+                break
+        derived = written(_derived(homes), "jaccard-derived")
+        spent.append(derived)
+        known(tried.limit(0), derived.select(F.col("label").alias("a"), F.col("node").alias("b")))
+        left = with_comp(rooted.drop("comp"))
+    else:
+        left = left.withColumn("root", F.col("node"))
+    several = F.count(F.lit(1)) / LIST
+    mixed = left.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("root").alias("u"), F.max("root").alias("v"), F.ceil(several).cast("int").alias("parts")).filter("x <> y AND u <> v").select("token", "parts")
     parts = left.join(mixed, "token").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     parts = parts.withColumn("k", F.explode(F.expr("sequence(0, parts - 1)"))).withColumn("i", F.least("k", "part")).withColumn("j", F.greatest("k", "part"))
     add(_cross(parts).select(F.col("a").alias("node"), F.col("b").alias("leader")))
-    for x in (*spent, left):
+    for x in spent:
         drop_written(x)
     return rows, comp, texts
 
 
+def _named(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    """node, component_id of the nodes of rows."""
+    low = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
+    named = low.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    return named.join(named.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("node", "component_id")
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rows, comp, texts = _grouped(docs)
     _drop_texts(texts)
-    low = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("low"))
-    named = low.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    ids = named.groupBy("comp").agg(F.min("low").alias("component_id"))
-    to = named.join(ids, "comp").select("node", "component_id")
-    return rows.join(to, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.join(_named(rows, comp), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component)
 
 
 def _blocks(rows: DataFrame, comp: DataFrame, texts: tuple[DataFrame, DataFrame, str]) -> DataFrame:
@@ -594,16 +715,21 @@ def _compared(blocks: DataFrame, counts: bool) -> DataFrame:
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """a, b of every two different sets that link, a below b; and the rows with their sets: doc_id, node, n_shingles. Rows of one node have equal sets and link too."""
     rows, comp, texts = _grouped(docs)
-    return _compared(_blocks(rows, comp, texts), False), rows.select("doc_id", "node", F.col("n").alias("n_shingles"))
+    found = written(_compared(_blocks(rows, comp, texts), False), "jaccard-pairs")
+    _drop_texts(texts)
+    return found, rows.select("doc_id", "node", F.col("n").alias("n_shingles"))
 
 
 def link_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, n_links (the other rows of docs that it links with) of every row of docs."""
+    """doc_id, n_shingles, component_id, n_links (the other rows of docs that it links with) of every row of docs."""
     rows, comp, texts = _grouped(docs)
-    others = _compared(_blocks(rows, comp, texts), True).groupBy("node").agg(F.sum("n").alias("others"))
+    found = written(_compared(_blocks(rows, comp, texts), True), "jaccard-counts")
+    _drop_texts(texts)
+    others = found.groupBy("node").agg(F.sum("n").alias("others"))
     own = rows.filter("node IS NOT NULL").groupBy("node").agg((F.count(F.lit(1)) - 1).alias("own")).join(others, "node", "left")
-    to = own.select("node", (F.col("own") + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return rows.join(to, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    to = own.join(_named(rows, comp), "node").select("node", "component_id", (F.col("own") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return rows.join(to, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

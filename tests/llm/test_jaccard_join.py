@@ -63,3 +63,48 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 9), (9, 8), (20, 21), (5, 4)] + [(100 + k, 101 + k) for k in range(40)]
     got = dict(tuple(r) for r in jaccard_join.components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 8: 8, 9: 8, 10: 8, 20: 20, 21: 20} | {100 + k: 100 for k in range(41)}
+
+
+def template(seed, texts, words, changes):
+    rng = random.Random(seed)
+    base = [f"b{k}" for k in range(words)]
+    rows = []
+    for i in range(texts):
+        t = list(base)
+        for k in rng.sample(range(words), rng.choice(changes)):
+            t[k] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def verified_pairs(monkeypatch):
+    seen, real = [], jaccard_join._verified
+
+    def counted(texts, pairs, *more):
+        seen.append(pairs.count())
+        return real(texts, pairs, *more)
+
+    monkeypatch.setattr(jaccard_join, "_verified", counted)
+    return seen
+
+
+def test_near_misses_cost_no_pairs(spark, monkeypatch):
+    seen = verified_pairs(monkeypatch)
+    for texts in (200, 800):
+        seen.clear()
+        rows = template(3, texts, 300, [6])
+        got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert got.filter("doc_id = component_id").count() == texts
+        assert sum(seen) <= 4 * texts, (texts, seen)
+    seen.clear()
+    rows = template(4, 200, 300, [4])  # near the threshold: some link
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted([tuple(r) for r in got.collect()], key=str) == brute(rows) and sum(seen) <= 1_000
+
+
+def test_answers_from_differences(spark, monkeypatch):
+    for seed, group in ((6, 20),):
+        monkeypatch.setattr(jaccard_join, "GROUP", group)
+        rows = template(seed, 130, 100, [2, 3]) + [(1_000 + i, t.replace("b", "c")) for i, t in template(seed + 9, 60, 100, [1, 2, 3])]
+        df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as root", "1 as diff", "2 as good")
+        assert sorted([tuple(r) for r in jaccard_join.join(df).collect()], key=str) == brute(rows)

@@ -4,7 +4,7 @@ import re
 
 from loomcount.llm import jaccard_join
 
-from test_jaccard_join import corpus
+from test_jaccard_join import brute, corpus
 
 
 def sets(rows):
@@ -28,7 +28,10 @@ def test_all_links(spark, monkeypatch):
         own = sets(rows)
         df = spark.createDataFrame(rows, "doc_id long, text string")
         want = sorted(((i, len(own[x]), sum(linked(own[x], own[y]) for y in range(len(rows)) if y != x)) for x, (i, _) in enumerate(rows)), key=str)
-        assert sorted([tuple(r) for r in jaccard_join.link_counts(df).collect()], key=str) == want
+        counts = jaccard_join.link_counts(df)
+        assert sorted([tuple(r) for r in counts.select("doc_id", "n_shingles", "n_links").collect()], key=str) == want
+        assert sorted([tuple(r) for r in counts.select("doc_id", "n_shingles", "component_id").collect()], key=str) == brute(rows)
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith("jaccard_texts")]
         pairs, members = jaccard_join.links(df)
         node = {r["doc_id"]: r["node"] for r in members.filter("doc_id < 1000000").collect()}
         of = {node[i]: own[x] for x, (i, _) in enumerate(rows) if i is not None and own[x]}
