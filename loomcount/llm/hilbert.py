@@ -1,14 +1,13 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
-Each dimension is cut at quantiles into 2^BITS steps, the steps give an index on the Hilbert curve, rows are ordered by (index, salt
-bucket, text checksum, doc_id) and the order is cut into runs of equal row counts (law `rows`: counts at most one apart). Files of a
-run span a small box of the metadata space, so min/max statistics prune on every dimension.
+Each dimension is cut at quantiles into 2^BITS steps, the steps give an index on the Hilbert curve, rows are ordered by (index, text checksum, doc_id) and the order is cut into runs of equal
+row counts (law `rows`: counts at most one apart). Files of a run span a small box of the metadata space, so min/max statistics prune on every dimension. Equal texts with equal metadata stand side by side.
 
-No task sees more than about SUB rows of a curve cell: a cell is split into salt buckets by its count, each bucket is numbered by
-itself, and offsets come from the bucket counts (at most 2^(BITS * dimensions) rows plus one for each SUB documents).
+Strings are cut at the quantiles of whole strings, exactly: their different values are counted and these counts summed in their order. Places in the order are numbered in sampled ranges of about equal numbers of rows, so no task sees a whole
+cell or group of equal texts, however large, and the result does not depend on how rows are dealt.
 
-Defined results: null dimensions take step 0; a null text has size 1 and checksum 0; repeated rows get slots of their own; an empty
-table gives an empty result; dimension columns that are absent raise Spark's usual error; other columns are not read.
+Defined results: null dimensions take step 0; a null text has size 1 and checksum 0; texts of any length are read whole; null doc_ids come first in their cell and checksum; repeated rows get slots of their own; an empty
+table gives an empty result; dimension columns that are absent raise Spark's usual error, more than MOST_DIMS a ValueError; other columns are not read.
 """
 
 from __future__ import annotations
@@ -17,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomcount.functions.ordered import numbered, running
 from loomcount.llm.common import unused, written
 
-BITS, SUB = 4, 500_000
+BITS, MOST_DIMS = 4, 15
 
 
 def hilbert_index(steps: Column, dims: int, bits: int = BITS) -> Column:
@@ -42,45 +42,46 @@ def hilbert_index(steps: Column, dims: int, bits: int = BITS) -> Column:
     return F.get(F.transform(F.array(done), lambda x: F.aggregate(order, F.lit(0).cast("long"), lambda a, s: a * 2 + F.when(F.get(x, s["i"]).bitwiseAND(s["q"]) != 0, 1).otherwise(0))), F.lit(0))
 
 
-def _number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column; strings by their first six bytes."""
-    if dict(df.dtypes)[name] in ("string", "binary"):
-        return F.expr(f"cast(conv(rpad(hex(substring(cast(`{name}` as binary), 1, 6)), 12, '0'), 16, 10) as double)")
-    return F.col(name).cast("double")
+def _string_cuts(rows: DataFrame, name: str) -> list[str]:
+    """The values at the quantiles 1 / 2^BITS, 2 / 2^BITS, ... of a column of strings, at most 2^BITS - 1 of them; nulls don't count."""
+    counts = rows.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).first()[0]
+    if not total:
+        return []
+    upto = lambda c: F.floor(c * 2**BITS / total)
+    cuts = running(counts, name, {"before": F.col("n")}).filter(upto(F.col("before") + F.col("n")) > upto(F.col("before")))
+    return sorted(r[0] for r in cuts.select(name).collect())  # 2^BITS rows at most
 
 
 def assign(docs: DataFrame, dims: tuple[str, ...] = ("lang", "source", "n_chars"), shards: int = 8) -> DataFrame:
     """doc_id, size, text_crc32, cell, shard, slot of each row of docs."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    if not 0 < len(dims) <= MOST_DIMS:
+        raise ValueError(f"1 to {MOST_DIMS} dimensions")
+    text, kinds = F.coalesce(F.col("text"), F.lit("")), dict(docs.dtypes)
+    strings = [i for i, d in enumerate(dims) if kinds[d] in ("string", "binary")]
     rows = written(
         docs.select(
             "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
-            *[_number(docs, d).alias(f"d{i}") for i, d in enumerate(dims)],
+            *[(F.col(d).cast("string") if i in strings else F.col(d).cast("double")).alias(f"d{i}") for i, d in enumerate(dims)],
         ),
         "hilbert-rows",
     )
-    cuts = [k / 2**BITS for k in range(1, 2**BITS)]
-    got = rows.agg(F.count(F.lit(1)), *[F.percentile_approx(f"d{i}", cuts, 10_000) for i in range(len(dims))]).first()
-    total = got[0]
+    shares = [k / 2**BITS for k in range(1, 2**BITS)]
+    numbers = [i for i in range(len(dims)) if i not in strings]
+    got = rows.agg(F.count(F.lit(1)), *[F.percentile_approx(f"d{i}", shares, 10_000) for i in numbers]).first()
+    total, cuts = got[0], dict(zip(numbers, got[1:], strict=True)) | {i: _string_cuts(rows, f"d{i}") for i in strings}
 
-    def quantised(i: int) -> Column:
-        at = F.array(*[F.lit(float(v)) for v in got[i + 1] or []]).cast("array<double>")
-        return F.coalesce(F.size(F.filter(at, lambda v: F.col(f"d{i}") > v)), F.lit(0))
+    def step(i: int) -> Column:
+        kind = "string" if i in strings else "double"
+        at = F.array(*[F.lit(v) for v in cuts[i] or []]).cast(f"array<{kind}>")
+        return F.when(F.col(f"d{i}").isNull(), 0).otherwise(F.size(F.filter(at, lambda v: F.col(f"d{i}") > v)))
 
-    steps = F.array(*[F.when(F.col(f"d{i}").isNull(), 0).otherwise(quantised(i)) for i in range(len(dims))])
+    steps = F.array(*[step(i) for i in range(len(dims))])
     rows = rows.select("doc_id", "size", "text_crc32", hilbert_index(steps, len(dims)).alias("cell"))
-    cells = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select("cell", (F.sum("n").over(W.orderBy("cell")) - F.col("n")).alias("cell_at"), F.ceil(F.col("n") / SUB).alias("subs"))
-    # at most 2^(BITS * dims) rows: 4,096 with three dimensions
-    rows = rows.join(F.broadcast(cells), "cell").withColumn("sub", F.pmod(F.xxhash64("text_crc32", "doc_id"), F.col("subs"))).drop("subs")
-    counts = rows.groupBy("cell", "sub").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("cell", "sub", (F.sum("n").over(W.partitionBy("cell").orderBy("sub")) - F.col("n")).alias("sub_at"))
-    ranked = (
-        rows.withColumn("at", F.row_number().over(W.partitionBy("cell", "sub").orderBy("text_crc32", "doc_id")) - 1)
-        .join(counts, ["cell", "sub"])
-        .withColumn("rank", F.col("cell_at") + F.col("sub_at") + F.col("at"))
-    )
-    run = f"(rank * {shards}) div {max(total, 1)}L"
-    slot = F.expr(f"rank - (({run}) * {max(total, 1)}L + {shards - 1}) div {shards}")
+    ranked = numbered(rows, "cell", "place", then=("text_crc32", "doc_id"))
+    rank, n = "(place - 1)", f"{max(total, 1)}L"
+    run = f"({rank} * {shards}) div {n}"
+    slot = F.expr(f"{rank} - (({run}) * {n} + {shards - 1}) div {shards}")
     return ranked.select("doc_id", "size", "text_crc32", "cell", F.expr(run).cast("int").alias("shard"), slot.alias("slot"))
 
 

@@ -114,8 +114,52 @@ def test_hilbert_curve_is_a_walk(spark):
         assert all(sum(abs(a - b) for a, b in zip(x, y)) == 1 for x, y in zip(walk, walk[1:]))
 
 
-def test_hilbert_shards(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(hilbert, "SUB", 20)
+def curve_index(x, bits):
+    """The place of a point on the curve, bit by bit (Skilling's inverse transform)."""
+    x, q = list(x), 1 << (bits - 1)
+    while q > 1:
+        for i in range(len(x)):
+            if x[i] & q:
+                x[0] ^= q - 1
+            else:
+                t = (x[0] ^ x[i]) & (q - 1)
+                x[0], x[i] = x[0] ^ t, x[i] ^ t
+        q >>= 1
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    t, q = 0, 1 << (bits - 1)
+    while q > 1:
+        if x[-1] & q:
+            t ^= q - 1
+        q >>= 1
+    return int("".join(str(((v ^ t) >> b) & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_hilbert_order(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["de", "en", "fr", None]), f"a common beginning {rng.randint(0, 40):02d}", rng.randint(1, 900), f"t{i % 50}") for i in range(600)]
+    rows += [(1_000 + i, "en", "a common beginning 07", 5, f"hot{i % 4}") for i in range(400)]  # a hot cell with four texts
+    df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long, text string").repartition(7)
+
+    def steps(values):
+        known = sorted(v for v in values if v is not None)
+        cuts = {known[max(0, -(-k * len(known) // 16) - 1)] for k in range(1, 16)}
+        return [0 if v is None else sum(c < v for c in cuts) for v in values]
+
+    place = [curve_index(p, 4) for p in zip(*(steps([r[k] for r in rows]) for k in (1, 2)))]
+    want = [r[0] for _, _, r in sorted((c, zlib.crc32(r[4].encode()), r) for c, r in zip(place, rows))]
+    for partitions in ("4", "13"):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = [r["doc_id"] for r in hilbert.assign(df, ("lang", "source"), 3).orderBy("shard", "slot").collect()]
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    hot = hilbert.assign(df, ("lang", "source"), 8).join(df.select("doc_id", "text"), "doc_id").filter("doc_id >= 1000")
+    assert hot.groupBy("text").agg(F.max("shard") - F.min("shard")).agg(F.max("(max(shard) - min(shard))")).first()[0] <= 1  # side by side
+    with pytest.raises(ValueError):
+        hilbert.assign(df, ())
+
+
+def test_hilbert_shards(spark, tmp_path):
     rng = random.Random(2)
     rows = [(i, rng.choice(["de", "en", None]), f"src{rng.randint(0, 5)}", rng.randint(1, 900) if i % 7 else None, "same" if i % 3 == 0 else f"t{i}é") for i in range(403)] + [(None, None, None, None, None)] * 2
     df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long, text string").selectExpr("*", "1 as shard", "2 as cell")
