@@ -55,10 +55,10 @@ def masks(docs: DataFrame) -> DataFrame:
 
         from loomcount.llm import ngram_hash as ng
 
-        mark, upper, point = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
+        mark, upper, inner = np.zeros((3, 256), bool)
         mark[list(MARKS)] = True
         upper[ord("A") : ord("Z") + 1] = True
-        point[0x80:0xC0] = False  # continuation bytes
+        inner[0x80:0xC0] = True  # all bytes of a code point but its first
         for b in batches:
             data, offsets = ng.arrow_strings(b.column(3))
             out = np.zeros(b.num_rows, dtype=np.int32)
@@ -69,10 +69,8 @@ def masks(docs: DataFrame) -> DataFrame:
                 wide = max(1, len(found.dictionary))
                 words = np.bincount(text, minlength=n)
                 distinct = np.bincount(np.unique(text * wide + found.indices.to_numpy(zero_copy_only=False)) // wide, minlength=n)
-                sums = np.zeros((3, len(raw) + 1), dtype=np.int64)
-                for k, kind in enumerate((upper, point, mark)):
-                    np.cumsum(kind[raw], out=sums[k, 1:])
-                capitals, points, marks = sums[:, some[1:]] - sums[:, some[:-1]]
+                capitals, later, marks = (np.bincount(np.searchsorted(some, np.flatnonzero(kind[raw]), side="right") - 1, minlength=n) for kind in (upper, inner, mark))
+                points = np.diff(some) - later
                 fails = (words < LEAST_WORDS, 100 * distinct < LEAST_DISTINCT * words, 100 * capitals > MOST_UPPER * points, marks > 0)
                 out[first:last] = sum(f.astype(np.int32) << k for k, f in enumerate(fails))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out)], names=["doc_id", "part", "digest", "mask"])

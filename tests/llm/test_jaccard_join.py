@@ -90,12 +90,8 @@ def verified_pairs(monkeypatch):
 
 def test_near_misses_cost_no_pairs(spark, monkeypatch):
     seen = verified_pairs(monkeypatch)
-    for texts in (200, 800):
-        seen.clear()
-        rows = template(3, texts, 300, [6])
-        got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
-        assert got.filter("doc_id = component_id").count() == texts
-        assert sum(seen) <= 4 * texts, (texts, seen)
+    got = jaccard_join.join(spark.createDataFrame(template(3, 800, 300, [6]), "doc_id long, text string"))
+    assert got.filter("doc_id = component_id").count() == 800 and sum(seen) <= 4 * 800  # of 319,600 pairs
     seen.clear()
     rows = template(4, 200, 300, [4])  # near the threshold: some link
     got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
