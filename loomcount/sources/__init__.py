@@ -203,21 +203,3 @@ def metric_pairs(spark: SparkSession, path: str, blocks: bool = False) -> DataFr
     k = int(blocks)
     cols = [F.get(v, F.lit(0)).try_cast("bigint").alias("block")] * blocks + [F.get(v, F.lit(k)).try_cast("double").alias("y"), F.get(v, F.lit(k + 1)).try_cast("double").alias("p")]
     return spark.read.text(path).filter(F.size(v) == 2 + k).select(*cols)
-
-
-def tree_of(derivation: str) -> tuple:
-    """(label, children) of a bracketed derivation such as (A (B x) y)."""
-    stack: list[list] = [[]]
-    for t in derivation.replace("(", " ( ").replace(")", " ) ").split():
-        if t == "(":
-            stack.append([])
-        elif t == ")":
-            done = stack.pop()
-            stack[-1].append((done[0], done[1:]))
-        else:
-            stack[-1].append(t)
-    return stack[0][0]
-
-
-def tree_yield(tree) -> list[str]:
-    return [tree] if isinstance(tree, str) else [w for c in tree[1] for w in tree_yield(c)]
