@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomcount.functions.special import lgamma, log_poisson
@@ -19,19 +20,45 @@ def word_links(pairs: DataFrame, src: Column, trg: Column) -> DataFrame:
 
 
 def model1(links: DataFrame, rounds: int, written=written) -> DataFrame:
-    """s, t, p after so many EM rounds from a uniform start; `written` cuts the lineage between rounds."""
-    links = written(links)  # used twice in each round
-    probs = links.select("s", "t").distinct().withColumn("p", F.lit(1.0))
+    """s, t, p after so many EM rounds from a uniform start; `written` cuts the lineage between rounds. In a round links meet the table once, and the sums of a
+    target word's occurrence are taken in the same rows by a window."""
+    occurrence = W.partitionBy("sid", "t")
+    # a source word that stands n times adds n times to the sum of each of the target word's occurrences
+    links = written(links.withColumn("unit", F.min("n").over(occurrence)))  # used in each round
+    probs = None
     for _ in range(rounds):
-        met = links.join(probs, ["s", "t"])
-        # a source word that stands n times adds n times to the sum of each of the target word's occurrences
-        own = links.groupBy("sid", "t").agg(F.min("n").alias("unit"))
-        total = met.groupBy("sid", "t").agg(F.sum(F.col("n") * F.col("p")).alias("z")).join(own, ["sid", "t"])
-        c = met.join(total, ["sid", "t"]).groupBy("s", "t").agg(F.sum(F.col("n") * F.col("p") / F.col("z") * F.col("unit")).alias("c"))
+        met = links.withColumn("p", F.lit(1.0)) if probs is None else links.join(probs, ["s", "t"])
+        share = F.col("n") * F.col("p")
+        met = met.withColumn("z", F.sum(share).over(occurrence))
+        c = met.groupBy("s", "t").agg(F.sum(share / F.col("z") * F.col("unit")).alias("c"))
+        c = written(c)
         by_s = c.groupBy("s").agg(F.sum("c").alias("cs"))
         probs = c.join(by_s, "s").select("s", "t", (F.col("c") / F.col("cs")).alias("p"))
-        probs = written(probs)
-    return probs
+    return links.select("s", "t").distinct().withColumn("p", F.lit(1.0)) if probs is None else written(probs)
+
+
+def two_way(rules: DataFrame, forward: DataFrame, backward: DataFrame) -> DataFrame:
+    """rule, s, t and s2t, t2s of rules (rule, s array, t array), with different names: ln of the probability of one side by Model 1 given the other, both ways. A side of n words gives each word
+    of the other the mean over its words and the null word. forward: (s, t, p) for p(t | s), backward: (s, t, p) for p(s | t), where the null word is t; what a
+    table doesn't have is 0, so that a rule may have -infinity. Word pairs of a rule meet both tables in one join."""
+    counted = lambda c: rules.select("rule", F.explode(F.concat(F.array(F.lit(NULL)), c)).alias(c)).groupBy("rule", c).agg(F.count(F.lit(1)).alias(f"n{c}"))
+    pairs = counted("s").join(counted("t"), "rule").filter(~((F.col("s") == NULL) & (F.col("t") == NULL)))
+    table = forward.select("s", "t", F.col("p").alias("f")).join(backward.select("s", "t", F.col("p").alias("b")), ["s", "t"], "full_outer")
+    met = pairs.join(table, ["s", "t"], "left").select("rule", "s", "t", "ns", "nt", F.coalesce("f", F.lit(0.0)).alias("f"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    met = met.withColumn("zf", F.sum(F.col("ns") * F.col("f")).over(W.partitionBy("rule", "t"))).withColumn("zb", F.sum(F.col("nt") * F.col("b")).over(W.partitionBy("rule", "s")))
+    # each word's sum is taken once: in its row with the null word
+    ln = lambda z: F.when(z > 0, F.log(z)).otherwise(F.lit(float("-inf")))
+    total = met.groupBy("rule").agg(
+        F.sum(F.when(F.col("s") == NULL, F.col("nt") * ln(F.col("zf")))).alias("sf"), F.sum(F.when(F.col("t") == NULL, F.col("ns") * ln(F.col("zb")))).alias("sb")
+    )
+    n, m = F.size("s"), F.size("t")
+    return rules.join(total, "rule", "left").select("rule", "s", "t", (F.coalesce("sf", F.lit(0.0)) - m * F.log(n + 1.0)).alias("s2t"), (F.coalesce("sb", F.lit(0.0)) - n * F.log(m + 1.0)).alias("t2s"))
+
+
+def log_mean(a: Column, b: Column) -> Column:
+    """ln((exp a + exp b) / 2) without leaving the range of doubles."""
+    high = F.greatest(a, b)
+    return F.when(high == float("-inf"), high).otherwise(high + F.log1p(F.exp(F.least(a, b) - high)) - F.log(F.lit(2.0)))
 
 
 def baum_welch(seqs: DataFrame, states: int, symbols: int, rounds: int) -> tuple[list, list[float]]:

@@ -170,15 +170,19 @@ def ibcc_counts(t: Tables) -> DataFrame:
     return o.groupBy(big("source", "source"), big("quality", "class"), big(hard, "output")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.when(hard == 1, 0.9).otherwise(0.1)), "soft"))
 
 
-def _em(k: int) -> str:
-    before = "SELECT DISTINCT s, t, 1.0::DOUBLE AS p FROM l" if k == 0 else f"SELECT * FROM p{k - 1}"
-    return f"""q{k} AS ({before}), z{k} AS (SELECT sid, t, sum(n * p) AS z FROM l JOIN q{k} USING (s, t) GROUP BY ALL),
-    c{k} AS (SELECT s, t, sum(n * p / z * unit) AS c FROM l JOIN q{k} USING (s, t) JOIN z{k} USING (sid, t) JOIN u2 USING (sid, t) GROUP BY ALL), p{k} AS (SELECT s, t, c / sum(c) OVER (PARTITION BY s) AS p FROM c{k})"""
+def _em(k: int, x: str = "") -> str:
+    """A round over the links l{x}."""
+    before = f"SELECT DISTINCT s, t, 1.0::DOUBLE AS p FROM l{x}" if k == 0 else f"SELECT * FROM p{k - 1}{x}"
+    return f"""q{k}{x} AS ({before}), z{k}{x} AS (SELECT sid, t, sum(n * p) AS z FROM l{x} JOIN q{k}{x} USING (s, t) GROUP BY ALL),
+    c{k}{x} AS (SELECT s, t, sum(n * p / z * unit) AS c FROM l{x} JOIN q{k}{x} USING (s, t) JOIN z{k}{x} USING (sid, t) JOIN u2{x} USING (sid, t) GROUP BY ALL), p{k}{x} AS (SELECT s, t, c / sum(c) OVER (PARTITION BY s) AS p FROM c{k}{x})"""
 
 
-@query(f"""WITH {_TURNS}, b AS (SELECT conv_id || ':' || turn AS sid, list_prepend('<null>', {tok('src')}) AS s, {tok('trg')} AS t FROM u), d AS (SELECT sid, unnest(s) AS s, t FROM b),
-    l AS (SELECT sid, s, t, count(*) AS n FROM (SELECT sid, s, unnest(t) AS t FROM d) GROUP BY ALL), u2 AS (SELECT sid, t, min(n) AS unit FROM l GROUP BY ALL), {_em(0)}, {_em(1)}
-    SELECT s, t, round(p, 6) AS p FROM p1""")
+def _links(src: str, trg: str, x: str = "") -> str:
+    return f"""b{x} AS (SELECT conv_id || ':' || turn AS sid, list_prepend('<null>', {tok(src)}) AS s, {tok(trg)} AS t FROM u), d{x} AS (SELECT sid, unnest(s) AS s, t FROM b{x}),
+    l{x} AS MATERIALIZED (SELECT sid, s, t, count(*) AS n FROM (SELECT sid, s, unnest(t) AS t FROM d{x}) GROUP BY ALL), u2{x} AS (SELECT sid, t, min(n) AS unit FROM l{x} GROUP BY ALL)"""
+
+
+@query(f"WITH {_TURNS}, {_links('src', 'trg')}, {_em(0)}, {_em(1)} SELECT s, t, round(p, 6) AS p FROM p1")
 def model1_em2(t: Tables) -> DataFrame:
     """Two rounds over user turns and the turns that follow"""
     p = turn_pairs(t).withColumn("sid", F.concat_ws(":", "conv_id", "turn"))
@@ -284,6 +288,29 @@ def rule_base_measure(t: Tables) -> DataFrame:
     return g.select(F.md5(F.concat(F.array_join("s", " "), F.lit("|"), F.array_join("t", " "))).alias("rule"), F.round(al.rule_base(n, m, (n + m).cast("double"), 3.0, 0.1, -m * F.log(n + 1.0)), 5).alias("lp"))
 
 
+_SIDE = "SELECT rule, {c}, count(*) AS n{c} FROM (SELECT rule, unnest(list_prepend('<null>', {c})) AS {c} FROM g2) GROUP BY ALL"
+
+
+@query(f"""WITH {_PHRASES}, g2 AS MATERIALIZED (SELECT md5(array_to_string(s, ' ') || '|' || array_to_string(t, ' ')) AS rule, s, t FROM g), {_links('src', 'trg')}, {_em(0)}, {_em(1)}, {_links('trg', 'src', '_b')}, {_em(0, '_b')}, {_em(1, '_b')},
+    x AS MATERIALIZED (SELECT rule, s, t, ns, nt FROM ({_SIDE.format(c='s')}) JOIN ({_SIDE.format(c='t')}) USING (rule)),
+    f AS (SELECT rule, sum(nt * ln(z)) AS v FROM (SELECT rule, t, nt, sum(ns * coalesce(p, 0)) AS z FROM x LEFT JOIN p1 USING (s, t) WHERE t <> '<null>' GROUP BY ALL) GROUP BY rule),
+    r2 AS (SELECT rule, sum(ns * ln(z)) AS v FROM (SELECT rule, x.s, ns, sum(nt * coalesce(p, 0)) AS z FROM x LEFT JOIN p1_b ON p1_b.s = x.t AND p1_b.t = x.s WHERE x.s <> '<null>' GROUP BY ALL) GROUP BY rule),
+    v AS (SELECT (SELECT count(DISTINCT s) - 1 FROM l) AS vs, (SELECT count(DISTINCT s) - 1 FROM l_b) AS vt),
+    y AS (SELECT rule, s, t, len(s) * ln(1.0 / vs) + f.v - len(t) * ln(len(s) + 1.0) AS s2t, len(t) * ln(1.0 / vt) + r2.v - len(s) * ln(len(t) + 1.0) AS t2s FROM g2 JOIN f USING (rule) JOIN r2 USING (rule) CROSS JOIN v)
+    SELECT rule, round(len(s) * ln(3.0) - 3 - lgamma(len(s) + 1) + len(t) * ln(3.0) - 3 - lgamma(len(t) + 1) + (len(s) + len(t)) * ln(0.1) + greatest(s2t, t2s) + ln(1 + exp(least(s2t, t2s) - greatest(s2t, t2s))) - ln(2.0), 4) AS lp FROM y""")
+def rule_base_two_way(t: Tables) -> DataFrame:
+    """Whole pairs as rules, with the mean of Model 1 both ways after two rounds each over the pairs' words; words of one side are uniform"""
+    p = written(turn_pairs(t).select(F.concat_ws(":", "conv_id", "turn").alias("sid"), tx.tokens(F.col("src")).alias("src"), tx.tokens(F.col("trg")).alias("trg")))
+    forward = al.model1(al.word_links(p, F.col("src"), F.col("trg")), 2, written)
+    backward = al.model1(al.word_links(p, F.col("trg"), F.col("src")), 2, written).select(F.col("t").alias("s"), F.col("s").alias("t"), "p")
+    rules = p.filter("size(src) > 0 AND size(trg) > 0").select(F.md5(F.concat(F.array_join("src", " "), F.lit("|"), F.array_join("trg", " "))).alias("rule"), F.col("src").alias("s"), F.col("trg").alias("t"))
+    both = al.two_way(written(rules.dropDuplicates(["rule"])), forward, backward)
+    sizes = forward.filter(F.col("s") != al.NULL).agg(F.count_distinct("s").alias("vs")).crossJoin(backward.filter(F.col("t") != al.NULL).agg(F.count_distinct("t").alias("vt")))
+    n, m = F.size("s"), F.size("t")
+    joint = al.log_mean(F.col("s2t") - n * F.log("vs"), F.col("t2s") - m * F.log("vt"))
+    return both.crossJoin(F.broadcast(sizes)).select("rule", F.round(al.rule_base(n, m, (n + m).cast("double"), 3.0, 0.1, joint), 4).alias("lp"))  # one row
+
+
 @query(f"WITH {_PHRASES} SELECT count(*) AS types, round(avg(len(s)), 6) AS src_len, round(avg(len(t)), 6) AS trg_len, round(sum(tables * ln(1 / (1.0 + len(s)))), 4) AS base FROM g")
 def grammar_statistics(t: Tables) -> DataFrame:
     """A18"""

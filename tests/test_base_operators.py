@@ -92,3 +92,42 @@ def test_packed_numbers_come_back(spark):
     for bad in (32, None):
         with pytest.raises(Exception, match="does not fit"):
             sketch.packed(spark.createDataFrame([(0, bad, 0)], "address long, value long, finger long"), 5).collect()
+
+
+def test_model1_and_two_way_against_loops(spark):
+    import math
+
+    from loomcount.operators import align as al
+
+    pairs = [(1, ["a", "b", "a"], ["x", "y"]), (2, ["a"], ["x"]), (3, ["c"], ["y", "y"])]
+    df = spark.createDataFrame(pairs, "sid long, src array<string>, trg array<string>")
+
+    def em(ps, rounds):
+        ps = [([al.NULL, *s], t) for s, t in ps]
+        p = {(a, b): 1.0 for s, t in ps for a in s for b in t}
+        for _ in range(rounds):
+            c = dict.fromkeys(p, 0.0)
+            for s, t in ps:
+                for b in t:
+                    z = sum(p[a, b] for a in s)
+                    for a in s:
+                        c[a, b] += p[a, b] / z
+            by = {}
+            for (a, _), v in c.items():
+                by[a] = by.get(a, 0) + v
+            p = {k: v / by[k[0]] for k, v in c.items()}
+        return p
+
+    f, b = em([(s, t) for _, s, t in pairs], 2), em([(t, s) for _, s, t in pairs], 2)
+    tables = al.model1(al.word_links(df, df["src"], df["trg"]), 2), al.model1(al.word_links(df, df["trg"], df["src"]), 2)
+    assert {(r["s"], r["t"]): round(r["p"], 9) for r in tables[0].collect()} == {k: round(v, 9) for k, v in f.items()}
+    rules = [*pairs, (4, ["a", "a"], ["y"]), (5, ["new"], ["x"]), (6, [], ["x"]), (7, ["a"], ["unseen"])]
+    got = al.two_way(spark.createDataFrame(rules, "rule long, s array<string>, t array<string>"), tables[0], tables[1].selectExpr("t AS s", "s AS t", "p"))
+    ln = lambda z: math.log(z) if z > 0 else -math.inf
+    want = {}
+    for k, s, t in rules:
+        one = lambda u, v, p: sum(ln(sum(p.get((x, y), 0) for x in [al.NULL, *u])) for y in v) - len(v) * math.log(len(u) + 1)
+        want[k] = one(s, t, f), one(t, s, b)
+    for r in got.collect():
+        assert all(math.isclose(x, y, abs_tol=1e-9) or x == y for x, y in zip((r["s2t"], r["t2s"]), want[r["rule"]], strict=True)), r
+    assert got.count() == len(rules)
