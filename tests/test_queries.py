@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = (
     "tokens_stripped", "split_multichar", "tfidf_terms", "vocab_first_seen", "trie_level_stats", "week_range_bucket", "log_densities", "digamma_lgamma", "backoff_score", "strict_backoff", "lm_mixture_score", "kl_features_by_doc",
     "roc_50", "average_precision", "best_thresholds", "calibration_sliding", "rank_normalise", "interval_cv", "label_delay_split", "asof_boundary", "graph_features", "alignment_aer", "countmin_estimate", "entropy_sampled",
-    "adapt_step", "trie_period", "round_robin_streams", "model1_em2", "nb_gaussian_scores", "daily_windows_stream", "packed_lengths", "packed_read",
+    "adapt_step", "trie_period", "round_robin_streams", "model1_em2", "nb_gaussian_scores", "daily_windows_stream", "daily_windows_closed", "item_lives_stream", "derivation_yields", "derivation_links", "stored_model_scores", "rule_base_two_way", "packed_lengths", "packed_read",
     "sample_moments", "t_test_unequal", "f_test_variances", "mann_whitney", "wilcoxon_signed_rank", "sign_test", "covariance_matrix", "spearman_matrix",
 )
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="the driver's tables are absent")
