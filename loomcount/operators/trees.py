@@ -7,7 +7,7 @@ rows; a derivation with brackets that don't match, or without a label after one,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,37 +15,35 @@ INVERTED = "<>"
 
 
 def _tokens(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, pos, tok, level (of the node that an opening bracket opens, a closing one closes or a word stands in), lo (words before it), label and word flags."""
+    """key, pos, tok, label (of an opening bracket), level (of the node that a bracket opens or closes or a word stands in), lo (words before it), and from and to, the words
+    of that node. Labels have no row. Rows are dealt by key before they are exploded; all that follows is a window inside a key, so only texts are shuffled."""
     toks = F.regexp_extract_all(text, F.lit(r"[()]|[^\s()]+"), 0)
     step = lambda d, x: F.when(d < 0, d).when(x == "(", d + 1).when(x == ")", d - 1).otherwise(d)
     bad = F.col(text).rlike(r"\(\s*[()]") | (F.aggregate(toks, F.lit(0), step) != 0)
     checked = F.when(bad, F.raise_error(F.lit("brackets of a derivation don't match")).cast("array<string>")).otherwise(toks)
-    t = rows.select(key, F.posexplode(checked).alias("pos", "tok"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = rows.select(key, text).repartition(parts, key).select(key, F.posexplode(checked).alias("pos", "tok"))
     order = W.partitionBy(key).orderBy("pos")
-    t = t.withColumn("after", F.lag("tok").over(order))
-    bracket = F.col("tok").isin("(", ")")
-    t = t.withColumn("is_label", ~bracket & F.coalesce(F.col("after") == "(", F.lit(False))).withColumn("is_word", ~bracket & ~F.col("is_label"))
+    opens, closes = F.col("tok") == "(", F.col("tok") == ")"
+    t = t.withColumn("label", F.when(opens, F.lead("tok").over(order))).withColumn("is_label", F.coalesce(F.lag("tok").over(order) == "(", F.lit(False)))
+    t = t.filter("NOT is_label").withColumn("is_word", ~opens & ~closes)
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    depth = F.sum(F.when(F.col("tok") == "(", 1).when(F.col("tok") == ")", -1).otherwise(0)).over(so_far)
-    t = t.withColumn("depth", depth).withColumn("lo", F.sum(F.col("is_word").cast("int")).over(so_far) - F.col("is_word").cast("int"))
-    return t.select(key, "pos", "tok", (F.col("depth") + F.when(F.col("tok") == ")", 1).otherwise(0)).alias("level"), "lo", "is_label", "is_word")
-
-
-def _intervals(t: DataFrame, key: str) -> DataFrame:
-    """key, enter, leave, level, label, lo, hi of each node: the k-th opening bracket of a level belongs to its k-th closing one."""
-    at = W.partitionBy(key, "level", "tok").orderBy("pos")
-    b = t.filter("tok IN ('(', ')')").withColumn("k", F.row_number().over(at))
-    n = b.groupBy(key, "level", "k").agg(F.min("pos").alias("enter"), F.max("pos").alias("leave"), F.min("lo").alias("lo"), F.max("lo").alias("hi"))
-    labels = t.filter("is_label").select(key, (F.col("pos") - 1).alias("enter"), F.col("tok").alias("label"))
-    return n.drop("k").join(labels, [key, "enter"])
+    depth = F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(so_far)
+    t = t.withColumn("level", depth + F.when(closes, 1).otherwise(0)).withColumn("lo", F.sum(F.col("is_word").cast("int")).over(so_far) - F.col("is_word").cast("int"))
+    # a level's brackets stand in turn: the last opening and the next closing one are those of the node; the next is the last in the other direction, where frames grow too
+    level = W.partitionBy(key, "level")
+    past, ahead = (level.orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in (F.asc("pos"), F.desc("pos")))
+    t = t.withColumn("from", F.last(F.when(opens, F.col("lo")), True).over(past)).withColumn("turn", F.last(F.when(opens, F.col("label")), True).over(past))
+    t = t.withColumn("end", F.last(F.when(closes, F.struct("lo", "pos")), True).over(ahead))
+    return t.select(key, "pos", "tok", "label", "level", "lo", "is_word", "from", F.col("end.lo").alias("to"), F.col("end.pos").alias("leave"), "turn")
 
 
 def nodes(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, enter, leave, level (1: the root), label, lo, hi, words: a node's interval of tokens, and of words from lo up to but without hi, with the words of its yield."""
     t = _tokens(rows, key, text)
     said = t.filter("is_word").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("lo", "tok"))), lambda x: x["tok"]).alias("all"))
-    met = _intervals(t, key).join(said, key, "left")
-    return met.select(key, "enter", "leave", "level", "label", "lo", "hi", F.when(F.col("hi") > F.col("lo"), F.expr("slice(all, cast(lo + 1 as int), cast(hi - lo as int))")).otherwise(F.array().cast("array<string>")).alias("words"))
+    met = t.filter("tok = '('").join(said, key, "left").withColumnRenamed("to", "hi")
+    return met.select(key, F.col("pos").alias("enter"), "leave", "level", "label", "lo", "hi", F.when(F.col("hi") > F.col("lo"), F.expr("slice(all, cast(lo + 1 as int), cast(hi - lo as int))")).otherwise(F.array().cast("array<string>")).alias("words"))
 
 
 def below(all_nodes: DataFrame, tops: DataFrame, key: str) -> DataFrame:
@@ -54,26 +52,24 @@ def below(all_nodes: DataFrame, tops: DataFrame, key: str) -> DataFrame:
     return all_nodes.join(top, key).filter((F.col("enter") >= F.col("top")) & (F.col("leave") <= F.col("_end"))).drop("_end")
 
 
-def alignment(rows: DataFrame, key: str, text: str, inverted: Column | None = None) -> DataFrame:
+def alignment(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, i, j, word: the i-th word of the source side stands at place j of the target side (both from 0).
 
     A child's words come after those of the siblings that the node puts before it: the ones to its left, or in an inverted node to its right. A word's place is the
     sum of that over the word and the nodes above it, so a sum over the tokens up to it of what is added where a node begins and taken off where it ends."""
-    inverted = F.col("label") == INVERTED if inverted is None else inverted
     t = _tokens(rows, key, text)
-    n = _intervals(t, key).withColumn("turns", inverted)
-    words = t.filter("is_word").select(key, F.col("pos").alias("enter"), F.col("pos").alias("leave"), (F.col("level") + 1).alias("level"), "lo", (F.col("lo") + 1).alias("hi"), F.col("tok").alias("word"))
-    kids = n.select(key, "enter", "leave", "level", "lo", "hi", F.lit(None).cast("string").alias("word")).unionByName(words)
-    above = n.select(key, F.col("enter").alias("at"), F.col("level").alias("of"), F.struct("lo", "hi", "turns").alias("node"))
-    both = kids.select("*", F.col("enter").alias("at"), (F.col("level") - 1).alias("of"), F.lit(None).cast(above.schema["node"].dataType).alias("node")).unionByName(above, allowMissingColumns=True)
-    up = F.last("node", True).over(W.partitionBy(key, "of").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
-    kids = both.withColumn("up", up).filter("enter IS NOT NULL")
-    shift = F.when(F.col("up").isNull(), F.lit(0)).when(F.col("up.turns"), F.col("up.hi") - F.col("hi")).otherwise(F.col("lo") - F.col("up.lo"))
-    kids = kids.withColumn("shift", shift.cast("bigint"))
-    steps = kids.select(key, F.inline(F.when(F.col("word").isNotNull(), F.array(_step("enter", F.lit(0)))).otherwise(F.array(_step("enter", F.col("shift")), _step("leave", -F.col("shift"))))), "lo", "word", "shift")
-    total = F.sum("add").over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
-    return steps.withColumn("j", total + F.col("shift")).filter("word IS NOT NULL").select(key, F.col("lo").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), "word")
-
-
-def _step(at: str, add: Column) -> Column:
-    return F.struct(F.col(at).alias("pos"), add.cast("bigint").alias("add"))
+    begins = F.coalesce(F.col("tok") == "(", F.lit(False))
+    own = F.struct("from", "to", (F.col("turn") == INVERTED).alias("turns"))
+    # a bracket stands in its own node, which gives that node to its children, and in the one above as a child
+    as_child = F.struct((F.col("level") - 1).alias("of"), F.lit(True).alias("child"), F.lit(None).cast("struct<from: bigint, to: bigint, turns: boolean>").alias("node"))
+    as_node = F.struct(F.col("level").alias("of"), F.lit(False).alias("child"), own.alias("node"))
+    as_word = F.struct(F.col("level").alias("of"), F.lit(True).alias("child"), own.alias("node"))
+    roles = F.when(F.col("is_word"), F.array(as_word)).when(begins, F.array(as_node, as_child)).otherwise(F.array(as_child))
+    t = t.withColumn("lo_", F.when(F.col("is_word"), F.col("lo")).otherwise(F.col("from"))).withColumn("hi_", F.when(F.col("is_word"), F.col("lo") + 1).otherwise(F.col("to")))
+    t = t.select(key, "pos", "tok", "is_word", "lo_", "hi_", F.inline(roles))
+    up = F.last("node", True).over(W.partitionBy(key, "of").orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    t = t.withColumn("up", up).filter("child")
+    t = t.withColumn("shift", F.when(F.col("up").isNull(), F.lit(0)).when(F.col("up.turns"), F.col("up.to") - F.col("hi_")).otherwise(F.col("lo_") - F.col("up.from")))
+    add = F.when(F.col("is_word"), F.lit(0)).when(F.col("tok") == "(", F.col("shift")).otherwise(-F.col("shift"))
+    total = F.sum(add).over(W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0))
+    return t.withColumn("j", total + F.col("shift")).filter("is_word").select(key, F.col("lo_").cast("bigint").alias("i"), F.col("j").cast("bigint").alias("j"), F.col("tok").alias("word"))
