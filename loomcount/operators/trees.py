@@ -12,6 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 INVERTED = "<>"
+#: Texts are dealt to so many times the shuffle partitions: as rows of tokens with their sorts they take many times their bytes.
+WIDER = 8
 
 
 def _tokens(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -21,7 +23,7 @@ def _tokens(rows: DataFrame, key: str, text: str) -> DataFrame:
     step = lambda d, x: F.when(d < 0, d).when(x == "(", d + 1).when(x == ")", d - 1).otherwise(d)
     bad = F.col(text).rlike(r"\(\s*[()]") | (F.aggregate(toks, F.lit(0), step) != 0)
     checked = F.when(bad, F.raise_error(F.lit("brackets of a derivation don't match")).cast("array<string>")).otherwise(toks)
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = WIDER * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     t = rows.select(key, text).repartition(parts, key).select(key, F.posexplode(checked).alias("pos", "tok"))
     order = W.partitionBy(key).orderBy("pos")
     opens, closes = F.col("tok") == "(", F.col("tok") == ")"
