@@ -144,11 +144,12 @@ def chi2_cdf(x: Column, df: Column) -> Column:
 
 
 def _beta_terms(x: Column, a: Column, b: Column) -> Column:
-    """About how many terms the series of the incomplete beta function takes: those up to its largest one, then until they fade."""
+    """About how many terms the series of the incomplete beta function takes: those up to its largest one, then until they fade. m terms beyond the largest one they have fallen by
+    exp((1 - x) m^2 / (2 (a + over + m))) at least; a series that falls from its start on falls by its first ratio at least."""
     rest = F.greatest(1 - x, F.lit(1e-300))
     over = F.greatest(x * (a + b) - a, F.lit(0.0)) / rest
-    near = 10 * F.sqrt((a + over) * (a + over + b) / b)
-    fade = F.when(over > 0, over + 80 / rest).otherwise(40 / F.greatest(1 - F.greatest(x, x * (a + b) / a), F.lit(1e-300)))
+    near = 80 / rest + F.sqrt(80 / rest * (a + over))
+    fade = F.when(over <= 0, 40 / F.greatest(1 - F.greatest(x, x * (a + b) / a), F.lit(1e-300)))
     return F.when(over > 1_000, 1e18).otherwise(over + F.least(near, fade))
 
 
