@@ -14,6 +14,7 @@ from loomcount.operators import sketch as sk
 from loomcount.plans.registry import Tables, big, query, r6
 from loomcount.plans.sqltext import TOKENS, grams
 from loomcount.plans.text_queries import _TURNS, turn_pairs
+from loomcount.sources.tables import multiplied
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
@@ -60,7 +61,8 @@ def feature_families(t: Tables) -> DataFrame:
 def word_pairs(t: Tables) -> DataFrame:
     """Words of both sides of a pair"""
     first = lambda c: F.split(F.lower(c), " ")
-    p = turn_pairs(t).select(F.explode(first("src")).alias("sw"), first("trg").alias("t"))
+    p = multiplied(turn_pairs(t).select(first("src").alias("s"), first("trg").alias("t")), F.size("s") * F.size("t"))
+    p = p.select(F.explode("s").alias("sw"), "t")
     return p.select("sw", F.explode("t").alias("tw")).groupBy("sw", "tw").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -165,8 +167,8 @@ def rule_overlap(t: Tables) -> DataFrame:
 @query(f"WITH {_RULES} SELECT side, lang, count(*) AS n, round(1.0 / count(*), 9) AS prob FROM (SELECT 'left' AS side, * FROM (SELECT * FROM r EXCEPT SELECT * FROM q) UNION ALL SELECT 'right', * FROM (SELECT * FROM q EXCEPT SELECT * FROM r)) GROUP BY ALL")
 def two_sided_diff(t: Tables) -> DataFrame:
     """J15"""
-    r, q = rules(t)
-    d = r.join(q, ["lang", "rule"], "left_anti").withColumn("side", F.lit("left")).unionByName(q.join(r, ["lang", "rule"], "left_anti").withColumn("side", F.lit("right")))
+    both = ng.counts(t.documents.filter("doc_id IS NOT NULL"), [2], "lang", left=F.expr("doc_id % 4 < 2"), right=F.expr("doc_id % 4 >= 2"))  # texts are counted once for both sides
+    d = both.filter("(left > 0) <> (right > 0)").withColumn("side", F.when(F.col("left") > 0, "left").otherwise("right"))
     return d.groupBy("side", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(1.0 / F.count(F.lit(1)), 9).alias("prob"))
 
 
