@@ -114,8 +114,11 @@ class Room:
         out = 0.0
         for r in rules:
             c = self.count(name(r))
-            seen = c - self.discount if c > 0 else 0.0
-            out += math.log(seen + (self.strength + self.discount * self.types) * math.exp(self.base(r))) - math.log(self.total + self.strength)
+            fresh = math.log(self.strength + self.discount * self.types) + self.base(r)  # of a long rule below the range of doubles
+            if c > 0:
+                seen = math.log(c - self.discount)
+                fresh = max(seen, fresh) + math.log1p(math.exp(-abs(seen - fresh)))
+            out += fresh - math.log(self.total + self.strength)
         return out
 
 
