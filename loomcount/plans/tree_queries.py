@@ -20,8 +20,8 @@ def derivations(t: Tables) -> DataFrame:
     """doc_id, tree of every document that has a text."""
     words = lambda s: tx.tokens(F.regexp_replace(s, "[()]", ""))
     node = lambda label, kids: F.concat(F.lit("("), label, F.lit(" "), F.array_join(kids, " "), F.lit(")"))
-    sentence = lambda s: node(F.when(F.size(words(s)) % 2 == 1, F.lit("<>")).otherwise(F.lit("[]")), words(s))
-    paragraph = lambda p: node(F.lit("P"), F.transform(F.split(p, "[.!?]"), sentence))
+    sentence = lambda w: node(F.when(F.size(w) % 2 == 1, F.lit("<>")).otherwise(F.lit("[]")), w)
+    paragraph = lambda p: node(F.lit("P"), F.transform(F.transform(F.split(p, "[.!?]"), words), sentence))
     top = F.when(F.col("doc_id") % 2 == 0, F.lit("<>")).otherwise(F.lit("D"))
     return t.documents.filter("text IS NOT NULL").select("doc_id", node(top, F.transform(F.split("text", "\n"), paragraph)).alias("tree"))
 

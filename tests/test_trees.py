@@ -57,3 +57,24 @@ def test_subtrees(spark):
 def test_bad_brackets(spark, bad):
     with pytest.raises(Exception, match="don't match"):
         trees.nodes(spark.createDataFrame([(1, bad)], "sid long, tree string"), "sid", "tree").collect()
+
+
+def test_derivations_are_read_where_they_are(spark):
+    df = spark.createDataFrame([(1, "(A (B x) y)")], "sid long, tree string")
+    for made in (trees.alignment(df, "sid", "tree"), trees.nodes(df, "sid", "tree")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_texts_of_more_than_is_read_at_once(spark):
+    n = 250_000
+    wide = "(D " + "(<> b c) " * n + ")"
+    assert len(wide) > trees.TOGETHER
+    df = spark.createDataFrame([(1, wide), (2, "(A x (B))"), (3, None), (4, wide), (5, "(<> u (A v w))")], "sid long, tree string").coalesce(1)
+    got = trees.alignment(df, "sid", "tree").toPandas()
+    assert got.groupby("sid").size().to_dict() == {1: 2 * n, 2: 1, 4: 2 * n, 5: 3}
+    big = got[got["sid"] == 4].sort_values("j")
+    assert (big["word"].to_numpy().reshape(n, 2) == ["c", "b"]).all() and (big["i"].to_numpy() == big["j"].to_numpy() + [1, -1] * n).all()
+    assert sorted(got[got["sid"] == 5][["j", "i", "word"]].itertuples(index=False, name=None)) == [(0, 1, "v"), (1, 2, "w"), (2, 0, "u")]
+    sizes = trees.nodes(df, "sid", "tree").selectExpr("sid", "level", "size(words) AS n").groupBy("sid", "level").agg({"n": "sum"}).collect()
+    assert sorted(map(tuple, sizes)) == [(1, 1, 2 * n), (1, 2, 2 * n), (2, 1, 1), (2, 2, 0), (4, 1, 2 * n), (4, 2, 2 * n), (5, 1, 3), (5, 2, 2)]
