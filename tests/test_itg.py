@@ -87,3 +87,40 @@ def test_training(spark):
     assert len(links) == len(data) and all(links[k] == (None, None) for k in range(62, 65)) and links[0] == links[60]
     assert align.itg_train(df.limit(0), 2)[0].count() == 0
     assert align.itg_alignments(df, probs.limit(0)).count() == len(data)
+
+
+def test_counts_of_a_batch_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    shapes = sorted((rng.choice((3, 6)), rng.choice((3, 6))) for _ in range(8000))
+    part = lambda n, m: [{"at": k, "p": 0.001} for k in range((n + 1) * (m + 1) - 1)]
+    schema = pa.schema([("src", pa.list_(pa.string())), ("trg", pa.list_(pa.string())), ("times", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("part", pa.list_(pa.struct([("at", pa.int32()), ("p", pa.float64())])))])
+    batch = pa.RecordBatch.from_pylist([{"src": words(n), "trg": words(m), "times": 1, "n": n, "m": m, "part": part(n, m)} for n, m in shapes], schema)
+    align._itg_splits(6, 6)
+    tracemalloc.start()
+    got = align.itg_counts(batch, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 250,000 places of word pairs: dictionaries of them took some hundred bytes for each
+    assert peak < 60e6
+    c = dict(zip(zip(got["s"].to_pylist(), got["t"].to_pylist(), strict=True), got["c"].to_pylist(), strict=True))
+    c.pop((None, None))
+    assert math.isclose(sum(x for (s, _), x in c.items() if s != NULL), sum(n for n, _ in shapes), rel_tol=1e-9)
+
+
+def test_the_word_null_is_the_null_word(spark):
+    data = [(0, ["a", NULL], ["u"]), (1, ["a"], ["u", NULL]), (2, [NULL], [NULL]), (3, ["a"], ["u"])]
+    probs, _ = align.itg_train(spark.createDataFrame(data, "sid long, src array<string>, trg array<string>"), 1)
+    got = {(r["s"], r["t"]): r["p"] for r in probs.collect()}
+    start = dict.fromkeys(set().union(*(pairs_of(s, t) for _, s, t in data)), 0.25)
+    assert got.keys() <= start.keys() == {("a", "u"), ("a", NULL), (NULL, "u")} and math.isclose(sum(got.values()), 1.0)
+    start = dict.fromkeys(start, 1 / len(start))
+    total = {}
+    for _, s, t in data:
+        for pair, c in align.itg_expected(s, t, start, 0.0)[1].items():
+            total[pair] = total.get(pair, 0.0) + c
+    assert all(math.isclose(got[k], total[k] / sum(total.values()), rel_tol=1e-9) for k in got)
