@@ -142,3 +142,37 @@ def test_long_pairs_are_aligned_together(spark):
     for r in df.limit(5).collect():
         lp, links = align.itg_inside(r["src"], r["trg"], table)
         assert math.isclose(got[r["sid"]][0], lp, rel_tol=1e-9) and got[r["sid"]][1] == " ".join(f"{i}-{j}" for i, j in links)
+
+
+def test_words_with_the_same_number_are_numbered_anew(spark, monkeypatch):
+    data = [(0, ["a", "b"], ["u"]), (1, ["b"], ["v"]), (2, ["a"], ["u"]), (3, ["a"] * 10, ["u"])]
+    df = spark.createDataFrame(data, "sid long, src array<string>, trg array<string>")
+    want = {(r["s"], r["t"]): r["p"] for r in align.itg_train(df, 2)[0].collect()}
+    of = align._itg_id
+    monkeypatch.setattr(align, "_itg_id", lambda word, seed: of(word, seed) % 2 if seed < 2 else of(word, seed))
+    probs = align.itg_train(df, 2)[0]
+    got = {(r["s"], r["t"]): r["p"] for r in probs.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9) for k in got)
+    links = {r["sid"]: (r["lp"], r["links"]) for r in align.itg_alignments(df, probs).collect()}
+    both = {r["sid"]: (r["lp"], r["links"]) for r in align.itg_trained_alignments(df, 2).collect()}
+    assert links.keys() == both.keys() == {0, 1, 2, 3} and links[3] == both[3] == (None, None)
+    assert all(math.isclose(links[k][0], both[k][0], rel_tol=1e-9) and links[k][1] == both[k][1] for k in range(3))
+
+
+def test_splits_of_one_side_are_tried_once_and_the_first_round_needs_one_chart(monkeypatch):
+    """An inverted split with a child of one side is the straight one again; pairs of the same lengths have the same counts in the first round."""
+    import pyarrow as pa
+
+    assert all(all(x) and all(y) for _, splits in align._itg_splits(4, 3) for name, x, _, y, _ in splits if name == "inverted")
+    made = []
+    of = align.itg_expected_of
+    monkeypatch.setattr(align, "itg_expected_of", lambda words: made.append(words.shape[2]) or of(words))
+    rows = [{"src": ["a", f"b{k}"], "trg": [f"x{k}", "y"], "times": 1, "n": 2, "m": 2, "part": None} for k in range(50)]
+    part = pa.list_(pa.struct([("at", pa.int32()), ("p", pa.float64())]))
+    schema = pa.schema([("src", pa.list_(pa.string())), ("trg", pa.list_(pa.string())), ("times", pa.int64()), ("n", pa.int32()), ("m", pa.int32()), ("part", part)])
+    align._itg_uniform.cache_clear()
+    got = align.itg_counts(pa.RecordBatch.from_pylist(rows, schema), 0.01)
+    assert made == [1]
+    c = dict(zip(zip(got["s"].to_pylist(), got["t"].to_pylist(), strict=True), got["c"].to_pylist(), strict=True))
+    want = align.itg_expected(["a", "b0"], ["x0", "y"], {}, 0.01)[1]
+    assert math.isclose(c["b0", "x0"], want["b0", "x0"], rel_tol=1e-9) and math.isclose(c["a", "y"], 50 * want["a", "y"], rel_tol=1e-9)
