@@ -83,3 +83,11 @@ def test_model1_query_moves_texts_not_links(spark):
 
     plan = __spark_entry__.queries()["model1_em2"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode(s" not in plan and "SortMergeJoin" not in plan and "Window" not in plan and "MapInArrow" in plan
+
+
+def test_two_way_query_moves_texts_not_links(spark):
+    """Its rules met the tables of both models in a join of all their word pairs."""
+    import __spark_entry__
+
+    plan = __spark_entry__.queries()["rule_base_two_way"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 4 and "Window" not in plan and "FullOuter" not in plan
