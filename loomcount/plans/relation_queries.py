@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from loomcount.functions import text as tx
 from loomcount.operators import graph as gr
+from loomcount.operators import model1 as m1
 from loomcount.operators import neighbours as nb
 from loomcount.operators import ngrams as ng
 from loomcount.operators import sketch as sk
 from loomcount.plans.registry import Tables, big, query, r6
 from loomcount.plans.sqltext import TOKENS, grams
 from loomcount.plans.text_queries import _TURNS, turn_pairs
-from loomcount.sources.tables import multiplied
+from loomcount.sources.tables import dealt, written
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
@@ -60,10 +61,8 @@ def feature_families(t: Tables) -> DataFrame:
 @query(f"WITH {_TURNS}, w AS (SELECT conv_id, turn, string_split(lower(src), ' ') AS s, string_split(lower(trg), ' ') AS t FROM u), x AS (SELECT conv_id, turn, unnest(s) AS sw, t FROM w), y AS (SELECT sw, unnest(t) AS tw FROM x) SELECT sw, tw, count(*) AS n FROM y GROUP BY ALL")
 def word_pairs(t: Tables) -> DataFrame:
     """Words of both sides of a pair"""
-    first = lambda c: F.split(F.lower(c), " ")
-    p = multiplied(turn_pairs(t).select(first("src").alias("s"), first("trg").alias("t")), F.size("s") * F.size("t"))
-    p = p.select(F.explode("s").alias("sw"), "t")
-    return p.select("sw", F.explode("t").alias("tw")).groupBy("sw", "tw").agg(F.count(F.lit(1)).alias("n"))
+    p = dealt(turn_pairs(t), "conv_id", "turn").filter("src IS NOT NULL AND trg IS NOT NULL")
+    return m1.word_pairs(written(p.select(F.lower("src").alias("src"), F.lower("trg").alias("trg")))).select(F.col("s").alias("sw"), F.col("t").alias("tw"), "n")
 
 
 @query("SELECT o_orderkey, (SELECT min(b.bound) FROM (SELECT DISTINCT (p_partkey * 2500)::DOUBLE AS bound FROM part WHERE p_partkey % 3 = 0) b WHERE b.bound >= o_totalprice) AS bound FROM orders")

@@ -91,3 +91,19 @@ def test_two_way_query_moves_texts_not_links(spark):
 
     plan = __spark_entry__.queries()["rule_base_two_way"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") >= 4 and "Window" not in plan and "FullOuter" not in plan
+
+
+def test_word_pairs_are_counted_where_their_target_word_is(spark):
+    """Counts of pairs of words were summed by a shuffle of nearly all of them. Words may be empty."""
+    import __spark_entry__
+
+    rows = [("a b  a", "x y"), ("", "x "), ("b", "x"), ("a\nb", "")]
+    got = {(r.s, r.t): r.n for r in m1.word_pairs(spark.createDataFrame(rows, "src string, trg string")).collect()}
+    want = {}
+    for s, t in rows:
+        for x in s.split(" "):
+            for y in t.split(" "):
+                want[x, y] = want.get((x, y), 0) + 1
+    assert got == want and m1.word_pairs(spark.createDataFrame(rows, "src string, trg string").limit(0)).count() == 0
+    plan = __spark_entry__.queries()["word_pairs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "HashAggregate" not in plan
